@@ -38,6 +38,8 @@ def event_prices(
         "transaction_id", "address", "market_id", "timestamp",
         F.upper("side").alias("side"), F.col("price").alias("entry_price"), "volume",
     )
+    # Written once: the chosen trades are the probes, name the markets to read, and are counted per market.
+    chosen = materialise(chosen, "chosen")
     probes = chosen.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("horizon"))
     probes = probes.withColumn("at", F.col("timestamp") + _minutes(F.col("horizon")))
     # Only markets the informed traders touched need their ticks sorted.
@@ -103,6 +105,7 @@ def copy_trades(
         "transaction_id", "market_id", F.col("address").alias("expert_address"),
         F.col("timestamp").alias("entry_time"), F.col("price").alias("expert_price"), "result",
     )
+    bets = materialise(bets, "bets")
     probes = bets.withColumn("at", F.col("entry_time") + _minutes(F.lit(latency_minutes)))
     ticks = keep_members(trades, bets, "market_id").select("market_id", "timestamp", "transaction_id", "price")
     filled = asof_join(probes, ticks, out="exec_price", default="expert_price", limit=limit)

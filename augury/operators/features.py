@@ -18,22 +18,26 @@ from augury.functions.trades import seconds, trade_result
 from augury.operators.joins import cross_scalar, outer_blocks
 from augury.operators.ordered import ordered
 from augury.operators.quantiles import percentiles
-from augury.session import materialise
+from augury.session import materialise, rows_per_task
 
 # Times enter sums as seconds since this origin (2020-01-01), which keeps the sums of doubles precise.
 _ORIGIN = 1_577_836_800.0
 _DAY = 86_400.0
 
 
-def pair_table(cleaned: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row per (trader, market) with all sums the features need, from one pass over the trades."""
+def pair_table(cleaned: DataFrame, limit: int | None = None, sizes_from: DataFrame | None = None) -> DataFrame:
+    """One row per (trader, market) with all sums the features need, from one pass over the trades.
+
+    ``sizes_from`` may be any table with at least these traders' rows, such as the trades before cleaning: counting
+    its keys tells which groups are large without running the cleaning twice.
+    """
     trades = cleaned.select(
         "transaction_id", "address", "market_id", "timestamp", "price", "volume",
         is_buy(F.col("side")).alias("buy"),
         trade_result(F.col("side"), F.col("amount"), F.col("price")).alias("r"),
     )
     # Previous price of the trader across markets. This window fixes the shuffle by trader for all that follows.
-    keys = cleaned.select("address", "market_id")
+    keys = (cleaned if sizes_from is None else sizes_from).select("address", "market_id")
     by_trader = ordered(trades, ["address"], ["timestamp", "transaction_id"], limit, sizes_from=keys)
     lagged = by_trader.previous(F.col("price"), "prev").df
     # Running profit of the trader within the market, and its running peak.
@@ -86,7 +90,9 @@ def return_features(pairs: DataFrame, resolutions: DataFrame, limit: int | None
     """
     resolved = resolutions.where(is_resolved_raw(F.col("resolution"))).select("market_id").distinct()
     counted = pairs.join(resolved, "market_id", "left_semi").where("n_valid > 0")
-    along = ordered(counted, ["address"], ["market_id"], limit)
+    # The pair table is written, so its row count comes from file footers.
+    small = pairs.count() <= (limit or rows_per_task(pairs.sparkSession))
+    along = ordered(counted, ["address"], ["market_id"], limit, all_fit=small)
     along = along.running("sum", F.col("pnl"), "total")
     before = F.col("total") - F.col("pnl")
     along = along.running("max", before + F.col("path_max"), "top_incl").previous(F.col("top_incl"), "top_before")
@@ -208,15 +214,16 @@ def build_features(
     as_of=None,
     blocks: list[Callable[[DataFrame], DataFrame]] | None = None,
     limit: int | None = None,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """The feature matrix: address, the eleven features and the risk-adjusted return.
 
     ``as_of`` (a timestamp) leaves out later trades. ``blocks`` are user functions from the cleaned trades to further
-    per-trader columns (see :func:`with_feature_block`).
+    per-trader columns (see :func:`with_feature_block`). ``sizes_from`` is explained at :func:`pair_table`.
     """
     if as_of is not None:
         cleaned = cleaned.where(F.col("timestamp") < F.lit(as_of).cast("timestamp"))
-    raw = materialise(raw_features(pair_table(cleaned, limit), resolutions, limit), "features")
+    raw = materialise(raw_features(pair_table(cleaned, limit, sizes_from), resolutions, limit), "features")
     features = finish_features(raw, limit)
     for block in blocks or []:
         features = with_feature_block(features, cleaned, block)

@@ -6,20 +6,23 @@ times as epoch microseconds, so that both engines return the same types.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from augury import schemas
 from augury.functions import outcomes as O, trades as X
+from augury.ml import attribution, models
 from augury.functions.numbers import hash_draw, round_even, safe_div
 from augury.operators import asof, clean as C, equity as Q, events as V, features as P, ingest as I, joins as J
 from augury.operators import labels as L, metrics as M, reports as R
 from augury.operators.quantiles import percent_ranks, percentiles
-from augury.plans import sql as S
+from augury.plans import sql as S, training
 from augury.plans.sql import money, r
-from augury.session import materialise
+from augury.session import materialise, scratch_dir
 from augury.sources import feed as A, sample_tables as D, tables as B
+from augury.streaming import feed as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +56,11 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return C.clean(D.trades(spark, sf), S.MIN_TRADES, S.MIN_VOLUME)
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned trades as a written table, for analyses that read them several times."""
+    return materialise(cleaned(spark, sf), "cleaned")
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -581,7 +589,7 @@ def asof_prices(spark, sf):
 
 
 def pairs(spark, sf):
-    return P.pair_table(cleaned(spark, sf))
+    return P.pair_table(cleaned(spark, sf), sizes_from=D.trades(spark, sf))
 
 
 @query(
@@ -614,7 +622,9 @@ _FEATURE_COLUMNS = [*schemas.FEATURES, "Risk_Adjusted_Return"]
     f"""{S.ALL_FEATURES} select address, {", ".join(f"{r(c)} as {c}" for c in _FEATURE_COLUMNS)} from features""",
 )
 def feature_matrix(spark, sf):
-    return tidy(P.build_features(cleaned(spark, sf), D.resolutions(spark, sf)))
+    trades = D.trades(spark, sf)
+    kept = C.clean(trades, S.MIN_TRADES, S.MIN_VOLUME)
+    return tidy(P.build_features(kept, D.resolutions(spark, sf), sizes_from=trades))
 
 
 @query(
@@ -765,7 +775,7 @@ def win_rate_ranks(spark, sf):
     from features join placed using (address) join labels using (address) where Trader_Success_Rate <> -1""",
 )
 def model_input(spark, sf):
-    trades, resolutions = materialise(cleaned(spark, sf), "cleaned"), D.resolutions(spark, sf)
+    trades, resolutions = stored(spark, sf), D.resolutions(spark, sf)
     split = L.temporal_split(P.build_features(trades, resolutions), trades)
     return tidy(L.label_traders(split, trades, resolutions, mode="auto"))
 
@@ -782,7 +792,7 @@ def model_input(spark, sf):
     from ranked join (select split, quantile_cont(score, 0.8) as bar from ranked group by split) b on ranked.split = b.split""",
 )
 def model_input_composite(spark, sf):
-    trades, resolutions = materialise(cleaned(spark, sf), "cleaned"), D.resolutions(spark, sf)
+    trades, resolutions = stored(spark, sf), D.resolutions(spark, sf)
     split = L.temporal_split(P.build_features(trades, resolutions), trades)
     exact = split.withColumns({c: F.round(c, 10) for c in L.RANKED})
     labeled = L.label_traders(exact, trades, resolutions, mode="composite")
@@ -798,7 +808,7 @@ def model_input_composite(spark, sf):
       from features join placed using (address) where split = 'train'))::int as Trader_Success_Rate from features""",
 )
 def rar_labels(spark, sf):
-    trades = materialise(cleaned(spark, sf), "cleaned")
+    trades = stored(spark, sf)
     split = L.temporal_split(P.build_features(trades, D.resolutions(spark, sf)), trades)
     return L.rar_labels(split).select("address", schemas.LABEL)
 
@@ -834,14 +844,14 @@ def volume_quintiles(spark, sf):
 # ---------------------------------------------------------------- events and copied trades
 
 
-def informed(spark, sf):
-    rated = L.resolution_labels(cleaned(spark, sf), D.resolutions(spark, sf))
-    return V.informed_set(rated.withColumnRenamed(schemas.LABEL, "predicted_label"))
+def informed(trades, spark, sf):
+    rated = L.resolution_labels(trades, D.resolutions(spark, sf))
+    return materialise(V.informed_set(rated.withColumnRenamed(schemas.LABEL, "predicted_label")), "informed")
 
 
 @query("informed_set", f"{S.BASE}, {S.INFORMED} select address from informed")
 def informed_set(spark, sf):
-    return informed(spark, sf)
+    return informed(cleaned(spark, sf), spark, sf)
 
 
 def _study_sql(windows) -> str:
@@ -860,7 +870,8 @@ def _study_sql(windows) -> str:
 
 @query("event_study", f"{_study_sql(V.WINDOWS)} select * from study")
 def event_study(spark, sf):
-    return tidy(V.event_study(cleaned(spark, sf), informed(spark, sf)))
+    trades = stored(spark, sf)
+    return tidy(V.event_study(trades, informed(trades, spark, sf)))
 
 
 _STUDY_ROWS = " union all ".join(
@@ -876,7 +887,8 @@ _STUDY_ROWS = " union all ".join(
       {r("1.96 * stddev_samp(delta) / sqrt(count(*))")} as ci95 from long group by horizon""",
 )
 def event_study_summary(spark, sf):
-    study = V.event_study(cleaned(spark, sf), informed(spark, sf), V.LONG_WINDOWS)
+    trades = stored(spark, sf)
+    study = V.event_study(trades, informed(trades, spark, sf), V.LONG_WINDOWS)
     # The exact move of 0 must not become a tiny gain.
     exact = study.withColumns({c: F.round(c, 8) for c in study.columns if c.startswith("delta_")})
     return tidy(V.event_study_summary(exact))
@@ -888,12 +900,14 @@ def event_study_summary(spark, sf):
     select horizon, count(*) as events, {r("avg(delta)")} as mean_delta from long where volume >= 50 group by horizon""",
 )
 def whale_impact(spark, sf):
-    study = V.event_study(cleaned(spark, sf), informed(spark, sf), V.LONG_WINDOWS)
+    trades = stored(spark, sf)
+    study = V.event_study(trades, informed(trades, spark, sf), V.LONG_WINDOWS)
     return tidy(V.whale_impact(study, min_volume=50.0))
 
 
 def copies(spark, sf):
-    return V.copy_trades(cleaned(spark, sf), informed(spark, sf), D.resolutions(spark, sf))
+    trades = stored(spark, sf)
+    return materialise(V.copy_trades(trades, informed(trades, spark, sf), D.resolutions(spark, sf)), "copies")
 
 
 for _order, _keys in {"time": S.TIME_ORDER, "market": S.MARKET_ORDER}.items():
@@ -982,7 +996,7 @@ def coin_flips(spark, sf):
     f"""{S.ALL_COPIES} select {r(f"(sum(coalesce(net_profit, 0)) - sum(case when {_DRAW.format(salt='coin')} < 0.5 then 100.0 else -100.0 end)) / 100", 6)} as alpha_pct from copies""",
 )
 def alpha_over_coin_flips(spark, sf):
-    rows = materialise(copies(spark, sf), "copies")
+    rows = copies(spark, sf)
     order = ["timestamp", "transaction_id"]
     ours = Q.equity_metrics(_equity(spark, sf, rows), order=order)
     flips = Q.equity_metrics(_equity(spark, sf, V.coin_flips(rows)), order=order)
@@ -999,7 +1013,8 @@ _ORDER_COLUMNS = "transaction_id, address, market_id, 'Yes' as outcome, 'BUY' as
       and least(amount * 0.1, 20.0) > 1.0""",
 )
 def copy_orders(spark, sf):
-    return tidy(V.copy_orders(cleaned(spark, sf), informed(spark, sf), fraction=0.1, cap=20.0))
+    trades = stored(spark, sf)
+    return tidy(V.copy_orders(trades, informed(trades, spark, sf), fraction=0.1, cap=20.0))
 
 
 @query(
@@ -1114,7 +1129,7 @@ def calibration_bins(spark, sf):
     t as (select *, pow(abs(a_only - b_only) - 1, 2) / (a_only + b_only) as chi2 from c),
     -- The tail by Simpson's rule over the normal density.
     tail as (select 1 - 2 * sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end
-               * exp(-pow(sqrt(chi2) * i / 4000, 2) / 2)) * sqrt(chi2) / 4000 / 3 / sqrt(2 * pi()) as p
+               * exp(-pow(sqrt(chi2) * i / 4000, 2) / 2)) * any_value(sqrt(chi2)) / 4000 / 3 / sqrt(2 * pi()) as p
              from t, range(4001) as g(i))
     select a_only, b_only, {r("chi2", 6)} as chi2, {r("p", 6)} as p_value,
       case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end as significance from t, tail""",
@@ -1139,3 +1154,137 @@ def overfit_flags(spark, sf):
     k = F.substring("address", 2, 12).cast("bigint") % 5
     split = F.when(k < 3, "train").when(k == 3, "val").otherwise("test")
     return tidy(M.overfit_flags(D.scores(spark, sf).withColumn("split", split)))
+
+
+# ---------------------------------------------------------------- models
+
+# Small search spaces for the registered runs; the full ones are the defaults of augury.plans.training.
+_CANDIDATES = {
+    "Logistic Regression": models.Candidate(models.logistic, {"C": [0.1, 10.0]}),
+    "Random Forest": models.Candidate(models.forest, {"n_estimators": [20], "max_depth": [5]}),
+    "Gradient Boosting": models.Candidate(models.boosting, {"n_estimators": [10], "max_depth": [3]}, early_stop=True),
+    "Gaussian NB": models.Candidate(models.naive_bayes, {}),
+}
+_trained: dict[tuple[str, str], tuple[training.Training, DataFrame]] = {}
+
+
+def trained(spark, sf):
+    """One training run per session and data set, shared by the model queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        trades = D.sparse_trades(spark, sf)
+        features = P.build_features(C.clean(trades, 1, 0.0), D.resolutions(spark, sf), sizes_from=trades)
+        rows = materialise(L.composite_labels(L.temporal_split(features, trades)), "model_input")
+        _trained[key] = training.train_all(rows, _CANDIDATES, detailed_cv=False), rows
+    return _trained[key]
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    return training.model_comparison(trained(spark, sf)[0]).drop("position", "train_time_sec")
+
+
+@query("best_model")
+def best_model(spark, sf):
+    return training.select_best(training.model_comparison(trained(spark, sf)[0])).select("model", "auc_roc")
+
+
+@query("exported_predictions")
+def exported_predictions(spark, sf):
+    run = trained(spark, sf)[0]
+    best = training.select_best(training.model_comparison(run)).first()["model"]
+    return training.export_predictions(run, best)
+
+
+@query("model_mcnemar")
+def model_mcnemar(spark, sf):
+    return training.mcnemar_tests(trained(spark, sf)[0])
+
+
+@query("model_overfit_flags")
+def model_overfit_flags(spark, sf):
+    return training.overfit_flags(trained(spark, sf)[0])
+
+
+@query("cross_validation")
+def cross_validation(spark, sf):
+    rows = trained(spark, sf)[1]
+    only = {"Gaussian NB": _CANDIDATES["Gaussian NB"]}
+    return training.cv_results(training.train_all(rows, only, detailed_cv=True))
+
+
+for _name in ("Logistic Regression", "Random Forest"):
+
+    @query("attribution_" + _name.lower().replace(" ", "_"))
+    def feature_attribution(spark, sf, name=_name):
+        run, rows = trained(spark, sf)
+        return attribution.feature_attribution(run.plain[name], rows.where("split = 'test'"))
+
+
+@query(
+    "expanding_blocks",
+    f"""with {S.SPARSE}, {_SPLIT.format(t="sparse")},
+    t as (select address, row_number() over (order by first_trade_date, address) as rn, count(*) over () as n from placed)
+    select address, case when rn - 1 < n - 5 * (n // 6) then 0 else (rn - 1 - (n - 5 * (n // 6))) // (n // 6) + 1 end::int as block from t""",
+)
+def expanding_blocks(spark, sf):
+    trades = D.sparse_trades(spark, sf)
+    placed = L.temporal_split(trades.select("address").distinct(), trades)
+    return models.expanding_blocks(placed).select("address", "block")
+
+
+@query(
+    "class_weights",
+    f"""with {S.SCORES} select address, {r("count(*) over () / (2.0::double * count(*) over (partition by actual_label))")} as balanced,
+    {r("case when actual_label = 1 then (count(*) filter (actual_label = 0) over ()) / (count(*) filter (actual_label = 1) over ())::double else 1.0 end")} as pos_scaled
+    from scores""",
+)
+def class_weights(spark, sf):
+    return tidy(models.with_weights(D.scores(spark, sf), "actual_label").select("address", "balanced", "pos_scaled"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _landed(spark, sf) -> tuple[str, str]:
+    """The feed objects of the sample as files of JSON lines, and an empty work folder."""
+    root = f"{scratch_dir(spark)}/augury-stream-{uuid.uuid4().hex}"
+    D.feed_text(spark, sf).select("body").write.text(f"{root}/pages", lineSep="\n")
+    return f"{root}/pages", root
+
+
+@query("stream_ingest", f"with {S.FEED} select distinct transaction_id from feed")
+def stream_ingest(spark, sf):
+    pages, root = _landed(spark, sf)
+    for _ in range(2):  # the second run finds nothing new
+        W.incremental_ingest(spark, pages, f"{root}/store", f"{root}/check", lines=True).awaitTermination()
+    return W.read_store(spark, f"{root}/store").select("transaction_id")
+
+
+def _drained(stream: DataFrame, root: str) -> DataFrame:
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check")
+    writer.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query(
+    "stream_dedup",
+    f"with {S.FEED} select distinct transaction_id from feed where timestamp_us is not null",
+)
+def stream_dedup(spark, sf):
+    pages, root = _landed(spark, sf)
+    rows = W.stream_dedup(W.stream_trades(spark, pages, lines=True), delay="60 days")
+    return _drained(rows, root).select("transaction_id")
+
+
+# The stream emits an hour once no row can reach it any more: all but the last two hours of the sample.
+@query(
+    "stream_timeline",
+    f"""with {S.FEED}, closed as (select (max(timestamp_us) - 3600000000) // 3600000000 as h from feed)
+    select timestamp_us // 3600000000 * 3600000000 as bucket, count(*) as trade_count, {money('sum(amount * price)')} as volume
+    from feed, closed where timestamp_us is not null and timestamp_us // 3600000000 < h group by 1""",
+)
+def stream_timeline(spark, sf):
+    pages, root = _landed(spark, sf)
+    rows = W.stream_timeline(W.stream_trades(spark, pages, lines=True), "hour", delay="1 hour")
+    return tidy(_drained(rows, root).drop("unique_wallets"))

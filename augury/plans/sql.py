@@ -166,14 +166,14 @@ INFORMED = f"{labels()}, informed as (select address from labels where Trader_Su
 
 COPIES = f"""experts as (
   select transaction_id, market_id, address as expert_address, timestamp as entry_time, price as expert_price,
-         timestamp + interval 5 minute as at, result
+         timestamp + interval 5 minute as fill_at, result
   from cleaned join (select market_id, {STRICT_RESULT} as result from res) using (market_id)
   where side = 'BUY' and result in ('YES', 'NO') and address in (select address from informed)),
 fills as (
   select e.*, coalesce(t.price, e.expert_price) as exec_price
-  from experts e asof left join cleaned t on e.market_id = t.market_id and e.at >= t.timestamp),
+  from experts e asof left join cleaned t on e.market_id = t.market_id and e.fill_at >= t.timestamp),
 copies as (
-  select transaction_id, at as timestamp, market_id, expert_address, exec_price, expert_price,
+  select transaction_id, fill_at as timestamp, market_id, expert_address, exec_price, expert_price,
          case when expert_price >= 0.5 then exec_price - expert_price else expert_price - exec_price end as slippage,
          case when (case when expert_price >= 0.5 then 'YES' else 'NO' end) <> result then -100.0
               when exec_price > 0 then (1 - exec_price) * (100.0 / exec_price) end - 100.0 * 0.001 as net_profit,

@@ -8,9 +8,9 @@ from augury import schemas
 from augury.functions.outcomes import OPEN_MARK
 
 
-def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw trade objects from JSON pages (arrays of objects, or one object per line)."""
-    return spark.read.schema(schemas.FEED_TRADE).option("multiLine", True).json(path)
+def read_feed_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Raw trade objects from JSON files: one array per file, or one object per line (which Spark can split)."""
+    return spark.read.schema(schemas.FEED_TRADE).option("multiLine", not lines).json(path)
 
 
 def parse_feed_text(df: DataFrame, text: str) -> DataFrame:
