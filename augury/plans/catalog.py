@@ -6,7 +6,6 @@ times as epoch microseconds, so that both engines return the same types.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -20,7 +19,7 @@ from augury.operators import labels as L, metrics as M, reports as R
 from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
 from augury.plans.sql import money, r
-from augury.session import materialise, scratch_dir
+from augury.session import materialise, scratch_path
 from augury.sources import feed as A, sample_tables as D, tables as B
 from augury.streaming import feed as W
 
@@ -1218,7 +1217,7 @@ for _name in ("Logistic Regression", "Random Forest"):
     @query("attribution_" + _name.lower().replace(" ", "_"))
     def feature_attribution(spark, sf, name=_name):
         run, rows = trained(spark, sf)
-        return attribution.feature_attribution(run.plain[name], rows.where("split = 'test'"))
+        return attribution.feature_attribution(run.fit_plain(name), rows.where("split = 'test'"))
 
 
 @query(
@@ -1248,7 +1247,7 @@ def class_weights(spark, sf):
 
 def _landed(spark, sf) -> tuple[str, str]:
     """The feed objects of the sample as files of JSON lines, and an empty work folder."""
-    root = f"{scratch_dir(spark)}/augury-stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     D.feed_text(spark, sf).select("body").write.text(f"{root}/pages", lineSep="\n")
     return f"{root}/pages", root
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -13,10 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 from augury import schemas
 from augury.ml import models as M
 from augury.operators import metrics
-from augury.session import materialise
+from augury.session import materialise, scratch_path
 from augury.sources.tables import write_metrics_json
 
 
+# Training rows per partition of a fit.
+ROWS_PER_PARTITION = 50_000
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
@@ -25,41 +30,48 @@ def _labelled(scored: DataFrame) -> DataFrame:
     return scored.withColumn("actual_label", F.col("label").cast("int"))
 
 
-def cv_predictions(candidate: M.Candidate, params: dict, blocks: DataFrame, val: DataFrame | None, n: int) -> DataFrame:
-    """Predictions on every expanding fold, with its number in ``block``."""
-    folds = []
-    for k in range(1, 6):
-        train = blocks.where(F.col("block") < k)
-        if candidate.early_stop and val is not None:
-            train = train.drop("block").unionByName(val)
-        model = candidate.build(params, n * k // 6).fit(train)
-        folds.append(M.score(model, blocks.where(F.col("block") == k)))
-    return _labelled(_union(folds)).select("block", "actual_label", "predicted_probability")
+FOLDS = range(1, 6)
+
+
+def fold_rows(candidate: M.Candidate, blocks: DataFrame, val: DataFrame | None, k: int) -> DataFrame:
+    """What fold ``k`` trains on: the blocks before it, and the validation rows where the family stops early."""
+    train = blocks.where(F.col("block") < k).drop("block")
+    return train.unionByName(val) if candidate.early_stop and val is not None else train
 
 
 def search(
-    candidate: M.Candidate, blocks: DataFrame, val: DataFrame | None, n: int, parallelism: int = 4
+    candidate: M.Candidate, blocks: DataFrame, val: DataFrame | None, n: int, parallelism: int = 8
 ) -> tuple[dict, float]:
-    """The parameters with the best mean area under the curve over the folds; the first of equals."""
+    """The parameters with the best mean area under the curve over the folds; the first of equals.
+
+    The fits of all points and folds run side by side. Their scores go to one written table, so that all points are
+    rated by a single grouped job.
+    """
     points = M.parameter_sets(candidate.space, candidate.draws)
     if not candidate.space:
         return {}, 0.0
+    spark = blocks.sparkSession
+    scores = scratch_path(spark, "folds")
 
-    def rate(params: dict) -> float:
-        # Written first: the metrics read the predictions twice, and scoring is the costly part.
-        scored = materialise(cv_predictions(candidate, params, blocks, val, n), "folds")
-        return metrics.rank_metrics(scored, ["block"]).agg(F.avg("auc_roc")).first()[0]
+    def fit_and_score(task: tuple[int, int]) -> None:
+        i, k = task
+        model = candidate.build(points[i], n * k // 6).fit(fold_rows(candidate, blocks, val, k))
+        tested = _labelled(M.score(model, blocks.where(F.col("block") == k)))
+        tested.select("actual_label", "predicted_probability").write.parquet(f"{scores}/point={i}/block={k}")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        rated = list(pool.map(rate, points))
-    best = max(range(len(points)), key=lambda i: rated[i])
-    return points[best], rated[best]
+        list(pool.map(fit_and_score, [(i, k) for i in range(len(points)) for k in FOLDS]))
+    kind = "actual_label int, predicted_probability double, point int, block int"
+    areas = metrics.rank_metrics(spark.read.schema(kind).parquet(scores), ["point", "block"])
+    rated = areas.groupBy("point").agg(F.avg("auc_roc").alias("cv_auc"))
+    best = rated.orderBy(F.desc("cv_auc"), "point").first()
+    return points[best["point"]], best["cv_auc"]
 
 
 def calibrated_cv(candidate: M.Candidate, params: dict, blocks: DataFrame, val: DataFrame | None, n: int) -> DataFrame:
     """Test metrics of the calibrated model on every expanding fold."""
     folds = []
-    for k in range(1, 6):
+    for k in FOLDS:
         train = blocks.where(F.col("block") < k).drop("block")
         model = M.calibrate(lambda: candidate.build(params, n * k // 9), train, val if candidate.early_stop else None)
         folds.append(_labelled(model.predict(blocks.where(F.col("block") == k))))
@@ -71,18 +83,19 @@ def calibrated_cv(candidate: M.Candidate, params: dict, blocks: DataFrame, val:
 class Training:
     predictions: DataFrame  # model, address, split, labels and probability
     fitted: dict[str, M.CalibratedModel]
-    plain: dict[str, PipelineModel]  # the uncalibrated model on all training rows, for attribution
     parameters: dict[str, dict]
-    cv: DataFrame  # model, fold and its metrics
+    cv: DataFrame | None  # model, fold and its metrics
     info: DataFrame  # model, position, cv_auc, train_time_sec
+    fit_plain: Callable[[str], PipelineModel]  # the uncalibrated model on all training rows, for attribution
 
 
 def train_all(
-    model_input: DataFrame, candidates: dict[str, M.Candidate] | None = None, parallelism: int = 4,
+    model_input: DataFrame, candidates: dict[str, M.Candidate] | None = None, parallelism: int = 8,
     detailed_cv: bool = True,
 ) -> Training:
     """Search, calibrate and score every candidate. Fits run on the executors; the driver only loops over settings."""
     candidates = candidates or M.CANDIDATES
+    spark = model_input.sparkSession
     rows = materialise(
         M.assemble_features(model_input).withColumn("is_val", F.col("split") == "val"), "assembled"
     )
@@ -90,9 +103,12 @@ def train_all(
     # Early stopping weighs validation rows as they are.
     val = rows.where("split = 'val'").withColumns({"balanced": F.lit(1.0), "pos_scaled": F.lit(1.0)})
     n = train.count()
-    blocks = materialise(M.expanding_blocks(train), "blocks")
+    # Every boosting round and every optimiser step is a job: small tables run best in few partitions.
+    pieces = max(1, n // ROWS_PER_PARTITION)
+    train, val = train.coalesce(pieces), val.coalesce(pieces)
+    blocks = materialise(M.expanding_blocks(train), "blocks").coalesce(pieces)
     has_val = val.limit(1).count() > 0
-    predictions, fitted, plain, parameters, cv, info = [], {}, {}, {}, [], []
+    predictions, fitted, parameters, cv, info = [], {}, {}, [], []
     for position, (name, candidate) in enumerate(candidates.items()):
         started = time.time()
         extra = val if candidate.early_stop and has_val else None
@@ -100,7 +116,6 @@ def train_all(
         model = M.calibrate(lambda: candidate.build(params, n * 2 // 3), train, extra)
         elapsed = time.time() - started
         fitted[name], parameters[name] = model, params
-        plain[name] = candidate.build(params, n).fit(train if extra is None else train.unionByName(extra))
         scored = _labelled(model.predict(rows)).select(
             F.lit(name).alias("model"), "address", "split", "actual_label", "predicted_label", "predicted_probability"
         )
@@ -109,11 +124,16 @@ def train_all(
             folds = calibrated_cv(candidate, params, blocks, extra, n)
             cv.append(folds.select(F.lit(name).alias("model"), "*"))
         info.append((name, position, float(cv_auc), float(elapsed)))
-    spark = model_input.sparkSession
+
+    def fit_plain(name: str) -> PipelineModel:
+        rows = train.unionByName(val) if candidates[name].early_stop and has_val else train
+        return candidates[name].build(parameters[name], n).fit(rows)
+
     return Training(
-        _union(predictions), fitted, plain, parameters,
+        _union(predictions), fitted, parameters,
         _union(cv) if cv else None,
         spark.createDataFrame(info, "model string, position int, cv_auc double, train_time_sec double"),
+        fit_plain,
     )
 
 

@@ -52,12 +52,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{scratch_dir(spark)}/augury-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where a costly result has several readers. The written table cuts the lineage, survives lost executors,
     keeps column pruning and gives the planner real sizes.
     """
-    path = f"{scratch_dir(df.sparkSession)}/augury-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
