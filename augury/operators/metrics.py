@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from augury.functions.numbers import clip, safe_div, significance_stars
 from augury.operators.ordered import ordered
@@ -166,7 +166,7 @@ def calibration_bins(predictions: DataFrame, by: list[str] | None = None, bins:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(chi2: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
     return chi2.map(lambda x: math.erfc(math.sqrt(x / 2.0)))

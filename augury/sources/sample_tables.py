@@ -7,14 +7,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from augury.session import configure
 
 
+# The columns read from each sample table.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_returnflag string",
+    "part": "p_partkey bigint, p_name string, p_retailprice double",
+    "documents": "doc_id bigint, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table with a fixed schema, so that opening it runs no job."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def trades(spark: SparkSession, sf_dir: str, with_outcome: bool = False) -> DataFrame:
     """Trades from ``events``: users are traders, ``props.k`` is the market."""
     configure(spark)
-    # A single uppercase-free expression per column keeps the scan narrow and the filters pushable.
     outcome = F.lit(None).cast("string")
     if with_outcome:
         outcome = F.when(F.col("event_id") % 3 == 0, "Yes").when(F.col("event_id") % 3 == 1, "No")
@@ -25,7 +37,7 @@ def trades(spark: SparkSession, sf_dir: str, with_outcome: bool = False) -> Data
         F.when(F.col("event_type").isin("purchase", "signup", "click"), "BUY").otherwise("SELL").alias("side"),
         outcome.alias("outcome"),
         F.col("value").alias("amount"),
-        ((F.round(F.col("value") * 100).cast("bigint") % 100) / F.lit(100.0)).cast("double").alias("price"),
+        ((F.rint(F.col("value") * 100).cast("bigint") % 100) / F.lit(100.0)).cast("double").alias("price"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
 
@@ -33,8 +45,10 @@ def trades(spark: SparkSession, sf_dir: str, with_outcome: bool = False) -> Data
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per market of ``events``; six kinds of resolution text by the market's number."""
     configure(spark)
+    # Few different texts: they are merged before any is parsed.
     k = F.get_json_object("props", "$.k")
-    markets = table(spark, sf_dir, "events").select(k.alias("k")).where("k is not null").distinct()
+    texts = table(spark, sf_dir, "events").select("props").distinct()
+    markets = texts.select(k.alias("k")).where("k is not null").distinct()
     kind = F.col("k").cast("int") % 6
     text = F.when(kind == 0, "Yes").when(kind == 1, "No").when(kind == 2, " UP ").when(kind == 3, "0.7")
     return markets.select(
@@ -79,7 +93,7 @@ def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit("m"), "k").alias("conditionId"),
                 F.when(F.col("event_type") == "purchase", "BUY").otherwise("SELL").alias("side"),
                 F.col("value").alias("size"),
-                ((F.round(F.col("value") * 100).cast("bigint") % 100) / F.lit(100.0)).alias("price"),
+                ((F.rint(F.col("value") * 100).cast("bigint") % 100) / F.lit(100.0)).alias("price"),
                 F.when(e % 13 == 0, "soon").otherwise(F.col("sec").cast("string")).alias("timestamp"),
                 F.when(e % 2 == 0, "Yes").otherwise("").alias("outcome"),
                 F.concat(F.lit("Market "), "k").alias("title"),
