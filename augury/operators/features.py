@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from augury import schemas
 from augury.functions.numbers import clip, safe_div
 from augury.functions.outcomes import is_buy, is_resolved_raw
-from augury.functions.trades import seconds, trade_result
+from augury.functions.trades import counts_for_returns, seconds, trade_invested, trade_pnl, trade_won
 from augury.operators.joins import cross_scalar, outer_blocks
 from augury.operators.ordered import ordered
 from augury.operators.quantiles import percentiles
@@ -25,6 +25,17 @@ _ORIGIN = 1_577_836_800.0
 _DAY = 86_400.0
 
 
+def _returns():
+    """Profit, stake and outcome by the price rule; NULL for trades that do not count."""
+    side, amount, price = F.col("side"), F.col("amount"), F.col("price")
+    counted = counts_for_returns(amount, price)
+    return (
+        F.when(counted, trade_pnl(side, amount, price)).alias("pnl"),
+        F.when(counted, trade_invested(side, amount, price)).alias("invested"),
+        F.when(counted, trade_won(price)).alias("won"),
+    )
+
+
 def pair_table(cleaned: DataFrame, limit: int | None = None, sizes_from: DataFrame | None = None) -> DataFrame:
     """One row per (trader, market) with all sums the features need, from one pass over the trades.
 
@@ -34,23 +45,23 @@ def pair_table(cleaned: DataFrame, limit: int | None = None, sizes_from: DataFra
     trades = cleaned.select(
         "transaction_id", "address", "market_id", "timestamp", "price", "volume",
         is_buy(F.col("side")).alias("buy"),
-        trade_result(F.col("side"), F.col("amount"), F.col("price")).alias("r"),
+        *_returns(),
     )
     # Previous price of the trader across markets. This window fixes the shuffle by trader for all that follows.
     keys = (cleaned if sizes_from is None else sizes_from).select("address", "market_id")
     by_trader = ordered(trades, ["address"], ["timestamp", "transaction_id"], limit, sizes_from=keys)
     lagged = by_trader.previous(F.col("price"), "prev").df
     # Running profit of the trader within the market, and its running peak.
-    pnl = F.coalesce("r.pnl", F.lit(0.0))
+    gained = F.coalesce("pnl", F.lit(0.0))
     # A pair has no more rows than its trader: with no large trader there is no large pair to look for.
     pair_keys = keys if by_trader.runs is not None else None
     by_pair = ordered(
         lagged, ["address", "market_id"], ["timestamp", "transaction_id"], limit,
         sizes_from=pair_keys, all_fit=pair_keys is None,
     )
-    path = by_pair.running("sum", pnl, "cum").running("max", F.col("cum"), "peak").df
+    path = by_pair.running("sum", gained, "cum").running("max", F.col("cum"), "peak").df
     step = F.try_divide("price", "prev") - 1.0
-    gain, loss = F.col("r.pnl") > 0, F.col("r.pnl") < 0
+    gain, loss = F.col("pnl") > 0, F.col("pnl") < 0
     pairs = path.withColumn("step", step).groupBy("address", "market_id").agg(
         F.count("*").alias("n"),
         F.sum("volume").alias("volume"),
@@ -66,14 +77,14 @@ def pair_table(cleaned: DataFrame, limit: int | None = None, sizes_from: DataFra
         F.max("step").alias("max_step"),
         F.count_if((F.col("prev") == 0) & (F.col("price") > 0)).alias("n_infinite"),
         # Returns by the price rule.
-        F.count("r").alias("n_valid"),
-        F.count_if("r.win").alias("n_win"),
-        F.sum("r.pnl").alias("pnl"),
-        F.sum("r.invested").alias("invested"),
+        F.count("pnl").alias("n_valid"),
+        F.count_if("won").alias("n_win"),
+        F.sum("pnl").alias("pnl"),
+        F.sum("invested").alias("invested"),
         F.count_if(gain).alias("n_gain"),
-        F.sum(F.when(gain, F.col("r.pnl"))).alias("sum_gain"),
+        F.sum(F.when(gain, F.col("pnl"))).alias("sum_gain"),
         F.count_if(loss).alias("n_loss"),
-        F.sum(F.when(loss, -F.col("r.pnl"))).alias("sum_loss"),
+        F.sum(F.when(loss, -F.col("pnl"))).alias("sum_loss"),
         # The path inside the market: highest and lowest point, deepest fall.
         F.max("cum").alias("path_max"),
         F.min("cum").alias("path_min"),
@@ -238,14 +249,13 @@ def with_feature_block(features: DataFrame, cleaned: DataFrame, block: Callable[
 def drawdown_by_time(cleaned: DataFrame, resolutions: DataFrame, limit: int | None = None) -> DataFrame:
     """The deepest fall of each trader's profit along time, across markets, over the capital invested."""
     resolved = resolutions.where(is_resolved_raw(F.col("resolution"))).select("market_id").distinct()
-    result = trade_result(F.col("side"), F.col("amount"), F.col("price"))
     trades = cleaned.join(resolved, "market_id", "left_semi").select(
-        "address", "timestamp", "transaction_id", result.alias("r")
-    ).where("r is not null")
+        "address", "timestamp", "transaction_id", *_returns()
+    ).where("pnl is not null")
     path = ordered(trades, ["address"], ["timestamp", "transaction_id"], limit)
-    path = path.running("sum", F.col("r.pnl"), "cum").running("max", F.greatest(F.col("cum"), F.lit(0.0)), "peak").df
+    path = path.running("sum", F.col("pnl"), "cum").running("max", F.greatest(F.col("cum"), F.lit(0.0)), "peak").df
     folded = path.groupBy("address").agg(
-        F.min(F.col("cum") - F.col("peak")).alias("fall"), F.sum("r.invested").alias("invested")
+        F.min(F.col("cum") - F.col("peak")).alias("fall"), F.sum("invested").alias("invested")
     )
     base = F.when(F.col("invested") > 0, F.col("invested")).otherwise(1.0)
     return folded.select("address", F.least(F.col("fall") / base, F.lit(0.0)).alias("max_drawdown"))

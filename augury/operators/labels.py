@@ -88,7 +88,7 @@ def composite_labels(split: DataFrame, top: float = 0.2, limit: int | None = Non
     is_active = (F.col("total_roi") != 0) | (F.col("win_rate") != 0) | (F.col("profit_loss_ratio") != 0)
     active = percent_ranks(split.where(is_active), RANKED, ["split"], limit)
     total = sum((F.col(c) for c in list(RANKED.values())[1:]), F.col(list(RANKED.values())[0]))
-    scored = active.withColumn("composite_score", total / 3.0).drop(*RANKED.values())
+    scored = materialise(active.withColumn("composite_score", total / 3.0).drop(*RANKED.values()), "scored")
     bars = percentiles(scored, ["composite_score"], [1 - top], ["split"], limit).select(
         "split", F.col("composite_score")[0].alias("_bar")
     )
@@ -122,6 +122,7 @@ def label_traders(
     """Labels from resolved markets; ``auto`` takes composite labels where those cover too few traders."""
     if mode not in ("auto", "resolution", "composite"):
         raise ValueError(f"mode must be auto, resolution or composite, not {mode!r}")
+    split = materialise(split, "split")
     if mode != "composite":
         labels = resolution_labels(trades, resolutions, min_resolved_trades, accuracy_threshold)
         labeled = apply_resolution_labels(split, labels)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from augury.operators.ordered import group_sizes_over, ordered
 from augury.session import materialise, rows_per_task
 
+# Most rows per group for the built-in exact percentile, which keeps all values of a group in one task's memory.
+IN_MEMORY_ROWS = 250_000
+
 
 def value_ranks(df: DataFrame, cols: list[str], by: list[str], limit: int | None = None) -> DataFrame:
     """One row per distinct value: (by, name, value, count, upto, n), with ``upto`` the number of rows at or below it.
@@ -30,9 +33,8 @@ def percentiles(
     """
     by = list(by or [])
     limit = limit or rows_per_task(df.sparkSession)
-    if not group_sizes_over(df, by, limit):
-        wanted = F.array(*[F.lit(p) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
+    if not group_sizes_over(df, by, min(limit, IN_MEMORY_ROWS)):
+        return df.groupBy(*by).agg(*[F.percentile(c, probs).alias(c) for c in cols])
     ranked = value_ranks(df, cols, by, limit)
     picked = ranked.groupBy(*by, "name").agg(
         *[

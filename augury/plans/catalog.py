@@ -718,7 +718,7 @@ def _sparse_features(spark, sf):
     )
     # Ranks compare values for equality: drop the float noise first, as the SQL side does.
     features = features.withColumn("total_roi", F.round("total_roi", 9))
-    return L.temporal_split(features, trades)
+    return materialise(L.temporal_split(features, trades), "split")
 
 
 _COMPOSITE = f"""with {S.SPARSE}, {_SPLIT.format(t="sparse")}, {_SPARSE_RETURNS},
