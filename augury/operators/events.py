@@ -129,12 +129,15 @@ def copy_trades(
 
 
 def copy_metrics(curve: DataFrame, trade_size: float = 100.0) -> DataFrame:
-    """One row of results over copied trades that carry their equity curve (``balance``, ``drawdown``)."""
+    """One row of results over copied trades that carry their equity curve (``balance``, ``drawdown``).
+
+    A fill with undefined profit is a winning bet and counts as won; the sums leave it out.
+    """
     total = F.sum("net_profit")
     n = F.count("*")
     return curve.agg(
         n.alias("total_trades"),
-        F.avg((F.col("net_profit") > 0).cast("double")).alias("win_rate"),
+        F.avg(F.coalesce(F.col("net_profit") > 0, F.col("undefined_profit")).cast("double")).alias("win_rate"),
         total.alias("total_net_profit"),
         (total / (F.avg("exec_price") * n + 1e-5)).alias("roi_ref"),
         (total / (n * F.lit(trade_size))).alias("roi_capital"),

@@ -71,6 +71,19 @@ def trades_scan(spark, sf):
     return tidy(D.trades(spark, sf).drop("outcome"))
 
 
+@query(
+    "trades_csv",
+    f"""with {S.TRADES} select transaction_id, address, market_id, side, amount, price, epoch_us(timestamp) as timestamp
+    from trades where amount >= 1""",
+)
+def trades_csv(spark, sf):
+    """The trades through a CSV file; times of trades under 1 are spoilt, so the reader must drop those rows."""
+    path = scratch_path(spark, "csv")
+    text = F.when(F.col("amount") >= 1, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise("soon")
+    B.write_table(D.trades(spark, sf).withColumn("timestamp", text), path, format="csv")
+    return tidy(B.read_trades_csv(spark, path).drop("outcome"))
+
+
 @query(
     "feed_trades",
     f"with {S.FEED} select arrival, transaction_id, address, market_id, side, outcome, amount, price, timestamp_us as timestamp from feed",
@@ -172,7 +185,8 @@ def dedup_first(spark, sf):
 
 
 def _old_and_new(spark, sf):
-    feed = A.normalize_feed(A.parse_feed_text(D.feed_text(spark, sf), "body"), keep=("arrival",))
+    # Both sides come from the same objects: they are parsed once.
+    feed = materialise(A.normalize_feed(A.parse_feed_text(D.feed_text(spark, sf), "body"), keep=("arrival",)), "feed")
     return feed.where("side = 'BUY'"), feed
 
 
@@ -656,6 +670,18 @@ def early_entry_pct(spark, sf):
     return tidy(P.early_entry_pct(D.trades(spark, sf)).select("transaction_id", "early_entry_pct"))
 
 
+@query(
+    "feature_block",
+    f"""{S.ALL_FEATURES}, block as (select address, max(amount) as largest_trade from cleaned group by address)
+    select address, {r("total_roi")} as total_roi, largest_trade from features full join block using (address)""",
+)
+def feature_block(spark, sf):
+    trades = stored(spark, sf)
+    largest = lambda t: t.groupBy("address").agg(F.max("amount").alias("largest_trade"))
+    matrix = P.build_features(trades, D.resolutions(spark, sf), blocks=[largest])
+    return tidy(matrix.select("address", "total_roi", "largest_trade"))
+
+
 # ---------------------------------------------------------------- splits and labels
 
 
@@ -925,7 +951,7 @@ for _order, _keys in {"time": S.TIME_ORDER, "market": S.MARKET_ORDER}.items():
 @query(
     "copy_metrics",
     f"""{S.ALL_COPIES}, {S.curve(S.MARKET_ORDER)}
-    select count(*) as total_trades, {r("avg(coalesce(net_profit > 0, false)::int)")} as win_rate, {r("sum(net_profit)", 6)} as total_net_profit,
+    select count(*) as total_trades, {r("avg((coalesce(net_profit > 0, false) or undefined_profit)::int)")} as win_rate, {r("sum(net_profit)", 6)} as total_net_profit,
       {r("sum(net_profit) / (avg(exec_price) * count(*) + 1e-5)", 6)} as roi_ref,
       {r("sum(net_profit) / (count(*) * 100.0)")} as roi_capital,
       {r("greatest(0.0, max((peak - balance) / peak))")} as max_drawdown, {r("avg(slippage)")} as average_slippage from curve""",
@@ -1025,6 +1051,18 @@ def random_orders(spark, sf):
     return tidy(V.random_orders(D.trades(spark, sf), probability=0.03))
 
 
+@query(
+    "signal_orders",
+    f"""with {S.TRADES} select {_ORDER_COLUMNS}, {r("least(amount, 100.0) * (1 - price)")} as amount, price, epoch_us(timestamp) as timestamp
+    from trades where side = 'SELL' and price between 0.4 and 0.6""",
+)
+def signal_orders(spark, sf):
+    """A user's rule: buy against sales near even odds, the more the cheaper."""
+    near_even = (F.col("side") == "SELL") & F.col("price").between(0.4, 0.6)
+    size = F.least(F.col("amount"), F.lit(100.0)) * (1 - F.col("price"))
+    return tidy(V.signal_orders(D.trades(spark, sf), lambda t: (near_even, size)))
+
+
 @query(
     "positions",
     f"""with {S.TRADES} select address, market_id, {r("sum(case when side = 'BUY' then amount else -amount end)", 6)} as token_balance,

@@ -58,11 +58,6 @@ def replace_all(df: DataFrame, path: str) -> None:
     write_table(df, path, mode="overwrite")
 
 
-def write_bucketed(df: DataFrame, table: str, by: str = "address", buckets: int = 512) -> None:
-    """Save as a table bucketed and sorted by one key: later joins and groupings on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
-
-
 def write_metrics_json(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per row; metric tables have one row or one per model."""
     metrics.coalesce(1).write.mode(mode).json(path)

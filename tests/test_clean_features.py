@@ -154,9 +154,9 @@ def test_features_of_large_groups(spark, small):
     hot = trades.withColumn("address", F.when(F.crc32("transaction_id") % 3 == 0, "w0").otherwise(F.col("address")))
     hot = hot.withColumn("market_id", F.when(F.col("address") == "w0", "m0").otherwise(F.col("market_id")))
     res = D.resolutions(spark, small)
-    same_rows(features.build_features(hot, res, limit=15), features.build_features(hot, res), 8)
-    same_rows(features.drawdown_by_time(hot, res, limit=15), features.drawdown_by_time(hot, res), 8)
-    same_rows(features.early_entry_pct(hot, limit=15), features.early_entry_pct(hot), 8)
+    same_rows(features.build_features(hot, res, limit=60), features.build_features(hot, res), 8)
+    same_rows(features.drawdown_by_time(hot, res, limit=60), features.drawdown_by_time(hot, res), 8)
+    same_rows(features.early_entry_pct(hot, limit=60), features.early_entry_pct(hot), 8)
 
 
 def test_feature_invariants(spark, small):
