@@ -52,9 +52,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_paths: dict[str, list[str]] = {}  # scratch paths handed out, per application
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{scratch_dir(spark)}/augury-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/augury-{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote so far; returns how many paths there were.
+
+    Call it once results are stored: tables that still read an intermediate one can no longer be computed.
+    """
+    done = _paths.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in done:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(done)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from augury.operators import equity, events
+from augury import session
+from augury.operators import clean, equity, events
 from augury.operators.asof import asof_join
+from augury.sources import sample_tables as D
 
 from conftest import rows_of, same_rows
 
@@ -157,3 +160,23 @@ def test_positions_and_histogram(make_trades, spark):
     assert bins == [(0, 2), (1, 1), (2, 0), (3, 0), (4, 1)]
     flat = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert rows_of(events.histogram(flat, "x", 2).select("bin", "n"), "bin") == [(0, 2), (1, 0)]
+
+
+def test_events_of_large_markets(spark, small):
+    """One market holds most rows and is scanned in runs; prices and profits stay the same."""
+    trades = clean.clean(D.trades(spark, small), 1, 0.0)
+    hot = trades.withColumn("market_id", F.when(F.crc32("transaction_id") % 3 > 0, "m0").otherwise(F.col("market_id")))
+    informed = hot.select("address").distinct()
+    same_rows(events.event_study(hot, informed, [5, 60], limit=400), events.event_study(hot, informed, [5, 60]))
+    res = D.resolutions(spark, small)
+    same_rows(events.copy_trades(hot, informed, res, limit=400), events.copy_trades(hot, informed, res), 6)
+
+
+def test_release_deletes_intermediate_tables(spark):
+    table = session.materialise(spark.range(3), "gone")
+    folder = table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert table.count() == 3 and os.path.isdir(folder)
+    kept = session._paths.pop(spark.sparkContext.applicationId)
+    session._paths[spark.sparkContext.applicationId] = kept[-1:]  # other tests still read theirs
+    assert session.release(spark) == 1 and not os.path.exists(folder)
+    session._paths[spark.sparkContext.applicationId] = kept[:-1]
