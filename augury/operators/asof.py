@@ -31,7 +31,7 @@ def asof_join(
         F.lit(1).alias("_kind"),
         F.col(tie).alias("_tie"),
         F.lit(None).cast(ticks.schema[value].dataType).alias("_value"),
-        F.struct(*columns).alias("_probe"),
+        *[F.col(c).alias(f"_p_{c}") for c in columns if c != by],
     )
     tick_rows = ticks.select(
         F.col(by).alias("_by"),
@@ -39,11 +39,11 @@ def asof_join(
         F.lit(0).alias("_kind"),
         F.col(tie).alias("_tie"),
         F.col(value).alias("_value"),
-        F.lit(None).cast(probe_rows.schema["_probe"].dataType).alias("_probe"),
+        *[F.lit(None).cast(f.dataType).alias(f"_p_{f.name}") for f in probes.schema if f.name != by],
     )
     rows = ordered(tick_rows.unionByName(probe_rows), ["_by"], ["_at", "_kind", "_tie"], limit)
     found = rows.running("last", F.col("_value"), "_found").df.where(F.col("_kind") == 1)
-    result = F.col("_found") if default is None else F.coalesce("_found", F.col(f"_probe.{default}"))
+    result = F.col("_found") if default is None else F.coalesce("_found", f"_p_{default}")
     # The group column is taken from the shuffle key, so a grouping on it right after needs no further shuffle.
-    carried = [F.col("_by").alias(c) if c == by else F.col(f"_probe.{c}").alias(c) for c in columns]
+    carried = [F.col("_by" if c == by else f"_p_{c}").alias(c) for c in columns]
     return found.select(*carried, result.alias(out))
