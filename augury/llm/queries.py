@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import bpe, langid, mixing
+from augury.llm import bpe, jaccard, langid, mixing, pii
 from augury.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,13 @@ def op6_bpe(spark, sf):
     r"""
     with rows as (
       select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+    ), counted as (
+      select doc_id, source, size, count(*)::bigint as n_rows from rows group by all
     ), units as (
-      select doc_id, source, size, count(*)::bigint as n_rows, size * count(*)::bigint as x, length(bin(size + 2))::bigint as v,
+      select *, size * n_rows as x, length(bin(size + 2))::bigint as v,
              (('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '?') || '|' || coalesce(source, '?')), 1, 13))::bigint::double + 0.5)
                / 4503599627370496.0::double as u
-      from rows group by all
+      from counted
     ), sources as (
       select source, sum(x)::bigint as source_size, sum(x * v)::bigint as vx,
              row_number() over (order by source nulls last) as place
@@ -95,3 +97,24 @@ def op10_langid(spark, sf):
     model = langid.learn(docs.where(~in_fold("doc_id", 3, 1)))
     found = langid.identify(docs, model)
     return found.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "n_letters", "langs")
+
+
+@query("op5_pii")
+def op5_pii(spark, sf):
+    """Spans of personal data in every text."""
+    docs = table(spark, sf, "documents")
+    found = pii.tag(docs, pii.learn(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.encode(pii.joined("spans", True), "UTF-8"), 256).alias("base_sha256"),
+        pii.joined("spans", False).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+@query("op8_jaccard")
+def op8_jaccard(spark, sf):
+    """The class of near-duplicates of every document and how many documents it links with."""
+    return jaccard.classes(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
