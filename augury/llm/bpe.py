@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from augury.llm.common import SPACE, char_classes, code_points, slices, spread, starts_of
+from augury.llm.common import SPACE, char_classes, code_points, slices, small_batches, spread, starts_of
 
-UNIT = 1_000_000  # code points worked on at a time
-WORDS_KEPT = 300_000
+UNIT = 400_000  # code points worked on at a time
+WORDS_KEPT = 150_000
 NONE = np.iinfo(np.int64).max
 # The endings split off after an apostrophe, in the order tried.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -244,13 +244,14 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     ``decoded`` adds the text that the ids decode to. ``path``: the vocabulary file on every executor.
     """
+    small_batches(df)
     schema = df.select(*keep).schema.add("n_tokens", "long", False).add("ids", "binary", False)
     if decoded:
         schema = schema.add("decoded", "string", False)
 
     def work(batches):
         vocab = vocabulary(path or default_path())
-        for batch in slices(batches, "__text", 4 * UNIT):
+        for batch in slices(batches, "__text", 2 * UNIT):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             if max(map(len, texts)) > 2 * UNIT:
                 each = [np.concatenate(list(vocab.encode(list(cut(t))))) for t in texts]
@@ -270,7 +271,7 @@ def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",),
 
     def work(batches):
         vocab = vocabulary(path or default_path())
-        for batch in slices(batches, "__ids", 4 * UNIT):
+        for batch in slices(batches, "__ids", 2 * UNIT):
             texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 

@@ -32,6 +32,13 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of at most 1,000 rows in this session: whole texts are handed to Python, two tasks to an executor."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text at most; one longer text makes a batch of its own."""
     for batch in batches:
