@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from augury.llm.common import slices, spread, starts_of, text_or_empty
+from augury.llm.common import slices, small_batches, spread, starts_of, text_or_empty
 from augury.llm.components import components
 from augury.session import materialise
 
@@ -198,6 +198,7 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 
     ``n``: rows with the text; ``links``: other rows within reach, copies included; ``class_h``: the text of the class's smallest id.
     """
+    small_batches(docs)
     named = docs.withColumn("__id", F.col(id)).select("__id", text)
     signed = sign(named, text, width, BANDS, ROWS).groupBy("h").agg(
         F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")

@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from augury.llm.common import LETTER, char_classes, slices, starts_of
+from augury.llm.common import LETTER, char_classes, slices, small_batches, starts_of
 
 GRAM_BITS = 16
 UNKNOWN = "und"
-UNIT = 2_000_000  # bytes of text worked on at a time
+UNIT = 1_000_000  # bytes of text worked on at a time
 
 
 @dataclass
@@ -65,6 +65,7 @@ def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
                 counts = {}
         yield from _rows(counts)
 
+    small_batches(docs)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(work, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -177,6 +178,7 @@ def _mixture(chance, n, doc, share, rounds, total):
 
 def identify(docs: DataFrame, model: Languages, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` (its proportion), ``n_letters`` and ``langs``, the selected set with shares."""
+    small_batches(docs)
     schema = docs.select(*keep).schema
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_letters", T.LongType()), ("langs", T.MapType(T.StringType(), T.DoubleType()))):
         schema = schema.add(name, kind)

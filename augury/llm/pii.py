@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augury.llm.common import slices, starts_of
+from augury.llm.common import slices, small_batches, starts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 UNIT = 1_000_000
@@ -267,6 +267,7 @@ def learn(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS
 
 def tag(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), masked: bool = False) -> DataFrame:
     """``keep`` columns and ``spans`` (0-based code points, end exclusive); ``masked`` adds the text with each span replaced."""
+    small_batches(docs)
     schema = docs.select(*keep).select("*", F.lit(None).cast(SPANS).alias("spans")).schema
     if masked:
         schema = schema.add("masked", "string")
