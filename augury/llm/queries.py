@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import bpe, jaccard, langid, mixing, pii
+from augury.llm import ann, bpe, egojoin, jaccard, langid, mixing, pii
 from augury.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,31 @@ def op5_pii(spark, sf):
 def op8_jaccard(spark, sf):
     """The class of near-duplicates of every document and how many documents it links with."""
     return jaccard.classes(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_egojoin")
+def op4_egojoin(spark, sf):
+    """Links and component of every vector."""
+    found = egojoin.links(table(spark, sf, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
+@query(
+    "op9_ann",
+    """
+    with usable as (
+      select vec_id, embedding::double[] as v from embeddings
+      where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), scored as (
+      select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+      from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+    ), placed as (
+      select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+    )
+    select query_id, rank, vec_id, score from placed where rank <= 20
+    """,
+)
+def op9_ann(spark, sf):
+    """The 20 nearest vectors of every 20th vector."""
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
