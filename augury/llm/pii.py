@@ -29,6 +29,7 @@ UNIT = 1_000_000
 SAMPLE_DOCUMENTS = 1500  # bound of the rows the weights are fitted to
 SAMPLE_CHARS = 50_000  # longer documents are not fitted to; all are searched
 CELLS = 4096  # of hashed features
+FEATURES = 8  # of each token
 SURE = 0.9
 ALIKE = 2.0  # prior mean of the log potential for equal labels on alike tokens; data move it where they have such tokens
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -140,7 +141,7 @@ def graph_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph
     text, start, end, number = tokens_of(texts)
     words = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), end.tolist())]
     near = np.r_[False, (np.diff(number) == 1) & (np.diff(text) == 0)] if len(text) else np.zeros(0, bool)
-    cells = np.array(features(words, near.tolist()), np.int64).reshape(len(words), -1)
+    cells = np.array(features(words, near.tolist()), np.int64).reshape(len(words), FEATURES)
     fixed = np.zeros(len(words), np.int64)
     at = np.searchsorted(text, np.arange(len(texts) + 1))
     for k, found in enumerate(spans):
