@@ -39,6 +39,16 @@ def small_batches(df: DataFrame) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def hashed_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About ``n`` rows, twice that at most, chosen by a hash of ``key``: the same ones in every run.
+
+    The count comes first, so that no task sends more than its part of the sample to the driver.
+    """
+    share = min(1.0, n / max(1, df.count()))
+    space = 1 << 62
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(space)) < F.lit(min(space - 1, int(share * space)))).limit(2 * n) if share < 1 else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text at most; one longer text makes a batch of its own."""
     for batch in batches:

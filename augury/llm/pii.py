@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from augury.llm.common import slices, small_batches, starts_of
+from augury.llm.common import hashed_sample, slices, small_batches, starts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 UNIT = 1_000_000
@@ -258,12 +258,11 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]
     return [sorted([*((*s, True) for s in b), *((*s, False) for s in m)]) for b, m in zip(base, more)]
 
 
-def learn(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS, most_chars: int = SAMPLE_CHARS) -> Field:
-    """Fit to at most ``documents`` texts that have numbers or at signs, chosen by hash."""
+def learn(docs: DataFrame, text: str = "text", id: str = "doc_id", documents: int = SAMPLE_DOCUMENTS, most_chars: int = SAMPLE_CHARS) -> Field:
+    """Fit to about ``documents`` texts that have numbers or at signs, twice that at most, chosen by hash."""
     t = F.col(text).cast("string")
-    rows = docs.select(t.alias("text")).where(t.rlike("@|[0-9]{3}") & (F.length(t) <= most_chars))
-    rows = rows.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(documents)
-    return fit([r[0] for r in rows.select("text").collect()])
+    rows = docs.where(t.rlike("@|[0-9]{3}") & (F.length(t) <= most_chars)).select(t.alias("text"), F.col(id).alias("id"))
+    return fit(sorted(r[0] for r in hashed_sample(rows, documents, "id", "text").select("text").collect()))
 
 
 def tag(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), masked: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from augury.llm.common import slices, small_batches, spread, starts_of
+from augury.llm.common import hashed_sample, slices, small_batches, spread, starts_of
 
 LABELLED, POOL = 4000, 4000  # bounds of the rows the classifiers are fitted to
 ROUNDS = 5
@@ -192,17 +192,17 @@ def _views(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", quality: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Co-trains on hashed samples of the labelled and the other documents."""
+    """Co-trains on hashed samples of the labelled and the other documents: about so many, twice that at most."""
     small_batches(docs)
-    known = labels.where(F.col(quality).isNotNull()).select(F.col(id).alias("__label_id"), F.col(quality).cast("double").alias("__y"))
-    rows = _views(docs).select(F.col(id).cast("long").alias("__id"), *[f"__{c}" for c in _COLUMNS])
-    draw = F.xxhash64(F.lit("quality"), "__id")
-    picked = known.withColumn("__draw", F.xxhash64(F.lit("quality"), F.col("__label_id").cast("long"))).orderBy("__draw", "__label_id", "__y").limit(labelled)
-    with_label = rows.join(F.broadcast(picked), rows["__id"] == picked["__label_id"]).drop("__label_id")  # at most ``labelled`` rows
-    chosen = rows.select("__id").withColumn("__draw", draw).where("__id is not null").orderBy("__draw").limit(pool + labelled)
-    chosen = chosen.join(F.broadcast(picked.select(F.col("__label_id").cast("long").alias("__id"))), "__id", "left_anti").orderBy("__draw").limit(pool)
-    without = rows.join(F.broadcast(chosen), "__id").withColumn("__y", F.lit(-1.0))  # at most ``pool`` rows
-    both = with_label.select("__id", *[f"__{c}" for c in _COLUMNS], "__y", "__draw").unionByName(without.select("__id", *[f"__{c}" for c in _COLUMNS], "__y", "__draw"))
+    wanted = [f"__{c}" for c in _COLUMNS]
+    rows = _views(docs).select(F.col(id).cast("long").alias("__id"), *wanted)
+    known = labels.where(F.col(quality).isNotNull()).select(F.col(id).cast("long").alias("__id"), F.col(quality).cast("double").alias("__y"))
+    picked = hashed_sample(known.distinct(), labelled, "__id")
+    others = hashed_sample(rows.select("__id").where("__id is not null"), pool, "__id").distinct()
+    others = others.join(F.broadcast(picked), "__id", "left_anti").withColumn("__y", F.lit(-1.0))
+    # At most 2 * (labelled + pool) rows are broadcast; repeated rows teach once, so the bound holds for the result too.
+    both = rows.join(F.broadcast(picked.unionByName(others)), "__id").dropDuplicates(["__id", "__y"])
+    both = both.withColumn("__draw", F.xxhash64(F.lit("quality"), "__id")).select("__id", *wanted, "__y", "__draw")
 
     def work(batches):
         cells = Cells()
@@ -214,7 +214,6 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", quality: str =
                 parts += [pa.ListArray.from_arrays(at, pa.array(r.cell, pa.int32())), pa.ListArray.from_arrays(at, pa.array(r.value, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("__y"), batch.column("__draw"), *parts], names=["y", "draw", "xc", "xv", "mc", "mv"])
 
-    both = both.dropDuplicates(["__id", "__y"])  # repeated rows teach once, so the bounds hold
     frame = both.mapInArrow(work, "y double, draw long, xc array<int>, xv array<float>, mc array<int>, mv array<float>")
     got = frame.toArrow().combine_chunks().sort_by([("draw", "ascending"), ("y", "ascending")])
     y = got["y"].to_numpy()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, bpe, egojoin, jaccard, langid, mixing, pii
+from augury.llm import ann, bpe, egojoin, jaccard, langid, lm, mixing, pii, quality
 from augury.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,18 @@ def op4_egojoin(spark, sf):
 def op9_ann(spark, sf):
     """The 20 nearest vectors of every 20th vector."""
     return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op1_quality")
+def op1_quality(spark, sf):
+    """Quality of every document; ``keep`` where good quality is the likelier."""
+    docs = table(spark, sf, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", "quality", (F.col("quality") >= 0.5).alias("keep"), "content_score", "metadata_score")
+
+
+@query("op3_lm")
+def op3_lm(spark, sf):
+    """Base score and attention model score of every text."""
+    found = lm.score(table(spark, sf, "documents"), in_fold("doc_id", 7, 2))
+    return found.withColumnRenamed("id", "doc_id")
