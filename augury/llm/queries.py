@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, bpe, egojoin, jaccard, langid, lm, mixing, pii, quality
+from augury.llm import ann, bpe, egojoin, jaccard, langid, lm, mixing, pii, quality, suffix
 from augury.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,11 @@ def op3_lm(spark, sf):
     """Base score and attention model score of every text."""
     found = lm.score(table(spark, sf, "documents"), in_fold("doc_id", 7, 2))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op2_suffix")
+def op2_suffix(spark, sf):
+    """What remains of every text without the 200-byte strings that occur more than once."""
+    found = suffix.dedup(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, p: s + p["end"] - p["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
