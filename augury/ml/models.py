@@ -62,6 +62,15 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     ).drop("_pos", "_neg")
 
 
+def fit_weighted(pipeline: Pipeline, train: DataFrame, extra: DataFrame | None = None, label: str = "label") -> PipelineModel:
+    """Fit with class weights from the rows of this fit alone; ``extra`` rows (for early stopping) weigh 1."""
+    rows = with_weights(train.drop("balanced", "pos_scaled"), label)
+    if extra is not None:
+        ones = {"balanced": F.lit(1.0), "pos_scaled": F.lit(1.0)}
+        rows = rows.unionByName(extra.drop("balanced", "pos_scaled").withColumns(ones))
+    return pipeline.fit(rows)
+
+
 def _scaler() -> StandardScaler:
     return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
 
@@ -87,9 +96,14 @@ def forest(params: dict, n_rows: int) -> Pipeline:
 
 
 def boosting(params: dict, n_rows: int) -> Pipeline:
-    """Boosted trees that stop early on the rows marked ``is_val``."""
+    """Boosted trees that stop early on the rows marked ``is_val``.
+
+    Spark stops at the first round whose gain there is below ``validation_tol``; it has no count of rounds to wait. The
+    default 0 stops at the first round without any gain.
+    """
     model = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="pos_scaled", seed=SEED, validationIndicatorCol="is_val",
+        validationTol=params.get("validation_tol", 0.0),
         maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5),
         stepSize=params.get("learning_rate", 0.1), subsamplingRate=params.get("subsample", 1.0),
         minInstancesPerNode=params.get("min_child_weight", 1),
@@ -180,11 +194,13 @@ class CalibratedModel:
 
 def calibrate(
     build: Callable[[], Pipeline], train: DataFrame, extra: DataFrame | None = None, parts: int = 3,
-    order: list[str] | None = None,
+    order: list[str] | None = None, pieces: int | None = None, score_digits: int | None = None,
 ) -> CalibratedModel:
     """Fit on all parts but one, calibrate on the one left out, for each part in turn.
 
-    Parts are contiguous within each class. ``extra`` holds validation rows for early stopping.
+    Parts are contiguous within each class. ``extra`` holds validation rows for early stopping. ``pieces``: partitions
+    of a fit. Isotonic fitting gets one weighted row per distinct score and ends on one machine; ``score_digits``
+    bounds those rows by rounding the scores first, and is off unless asked for.
     """
     order = order or ["first_trade_date", "address"]
     placed = ordered(train, ["label"], order).running("sum", F.lit(1), "_rn").df
@@ -192,15 +208,15 @@ def calibrate(
     part = F.floor((F.col("_rn") - 1) * parts / F.col("_n")).cast("int")
     # Two classes: the table of sizes has two rows.
     placed = placed.join(F.broadcast(sizes), "label").withColumn("part", part).drop("_rn", "_n")
-    placed = materialise(placed, "parts").coalesce(max(1, train.rdd.getNumPartitions()))
+    placed = materialise(placed, "parts")
+    placed = placed if pieces is None else placed.coalesce(pieces)
 
     def fit_part(i: int) -> tuple[PipelineModel, IsotonicRegressionModel]:
         fit_rows = placed.where(F.col("part") != i).drop("part")
-        model = build().fit(fit_rows if extra is None else fit_rows.unionByName(extra))
+        model = fit_weighted(build(), fit_rows, extra)
         held_out = score(model, placed.where(F.col("part") == i))
-        # Isotonic fitting ends on one machine. Merging equal scores to six digits first changes nothing that matters
-        # and bounds what it gets to a million weighted rows, however many traders there are.
-        merged = held_out.groupBy(F.round("predicted_probability", 6).alias("_raw")).agg(
+        raw = F.col("predicted_probability")
+        merged = held_out.groupBy((raw if score_digits is None else F.round(raw, score_digits)).alias("_raw")).agg(
             F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")
         )
         return model, IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight").fit(merged)

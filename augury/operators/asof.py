@@ -18,11 +18,14 @@ def asof_join(
     out: str = "asof_price",
     default: str | None = None,
     limit: int | None = None,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add to each probe the latest tick value of its group at or before its time, that time included.
 
     Of several ticks at one time the last by ``tie`` counts. Probes without a tick get the column ``default``.
     Probes and ticks are read in one shuffle and one sort; groups too large for a task are scanned in runs.
+    ``sizes_from``: a cheaper table with column ``by`` and at least as many rows per group as probes and ticks have,
+    so that finding the large groups doesn't compute the inputs first.
     """
     columns = probes.columns
     probe_rows = probes.select(
@@ -41,7 +44,8 @@ def asof_join(
         F.col(value).alias("_value"),
         *[F.lit(None).cast(f.dataType).alias(f"_p_{f.name}") for f in probes.schema if f.name != by],
     )
-    rows = ordered(tick_rows.unionByName(probe_rows), ["_by"], ["_at", "_kind", "_tie"], limit)
+    sizes = None if sizes_from is None else sizes_from.select(F.col(by).alias("_by"))
+    rows = ordered(tick_rows.unionByName(probe_rows), ["_by"], ["_at", "_kind", "_tie"], limit, sizes)
     found = rows.running("last", F.col("_value"), "_found").df.where(F.col("_kind") == 1)
     result = F.col("_found") if default is None else F.coalesce("_found", f"_p_{default}")
     # The group column is taken from the shuffle key, so a grouping on it right after needs no further shuffle.

@@ -23,7 +23,8 @@ def handle_missing(trades: DataFrame) -> DataFrame:
 
 
 def _in_range():
-    return F.col("price").between(0.0, 1.0) & (F.col("amount") >= 0.0)
+    # NaN is larger than any number here, so it passes ``>=`` unless it is named.
+    return F.col("price").between(0.0, 1.0) & (F.col("amount") >= 0.0) & ~F.isnan("amount")
 
 
 def remove_anomalies(trades: DataFrame) -> DataFrame:

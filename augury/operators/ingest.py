@@ -16,8 +16,8 @@ def _pick(df: DataFrame, key: str, position: Column, pick) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key: str = "transaction_id", arrival: str = "arrival") -> DataFrame:
-    """The first arrival per key."""
-    return _pick(df, key, F.col(arrival), F.min_by)
+    """The first arrival per key; rows without an arrival come after those with one."""
+    return _pick(df, key, F.struct(F.col(arrival).isNull(), F.col(arrival)), F.min_by)
 
 
 def merge_keep_last(old: DataFrame, new: DataFrame, key: str = "transaction_id", arrival: str = "arrival") -> DataFrame:
@@ -45,12 +45,15 @@ def append_counts(batch: DataFrame, existing: DataFrame, key: str = "transaction
     )
 
 
-def upsert_resolutions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New resolutions replace old ones per market; question and slug stay where the new row has none."""
-    both = (
-        old.select("market_id", "question", "resolution", "slug").withColumn("_batch", F.lit(0))
-        .unionByName(new.select("market_id", "question", "resolution", "slug").withColumn("_batch", F.lit(1)))
-    )
+def upsert_resolutions(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """New resolutions replace old ones per market; question and slug stay where the new row has none.
+
+    Of several new rows for one market the last by ``order`` counts, or without it the largest by resolution text.
+    """
+    columns = ["market_id", "question", "resolution", "slug"]
+    place = F.struct(F.lit(1), F.col(order).cast("string") if order else F.lit(None).cast("string"), F.col("resolution"))
+    first = F.struct(F.lit(0), F.lit(None).cast("string"), F.col("resolution"))
+    both = old.select(*columns, first.alias("_batch")).union(new.select(*columns, place.alias("_batch")))
     text = lambda name: F.nullif(F.col(name), F.lit(""))
     latest = lambda name, c: F.max_by(c, F.when(c.isNotNull(), F.col("_batch"))).alias(name)
     return both.groupBy("market_id").agg(

@@ -8,7 +8,7 @@ from augury import schemas
 from augury.functions.numbers import round_even
 from augury.functions.outcomes import normalise_outcome, predicted_outcome
 from augury.operators.joins import cross_scalar, with_first_trade
-from augury.operators.ordered import ordered
+from augury.operators.ordered import null_safe_join, ordered
 from augury.operators.quantiles import percent_ranks, percentiles
 from augury.session import materialise
 
@@ -84,18 +84,22 @@ def apply_resolution_labels(features: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def composite_labels(split: DataFrame, top: float = 0.2, limit: int | None = None) -> DataFrame:
-    """Label the top share of each split by the mean of three percent ranks; inactive traders get 0."""
-    is_active = (F.col("total_roi") != 0) | (F.col("win_rate") != 0) | (F.col("profit_loss_ratio") != 0)
+    """Label the top share of each split by the mean of three percent ranks; inactive traders get 0.
+
+    A trader with a missing value counts as active, has no rank there and so no score, and gets 0. A NULL split is a split.
+    """
+    differs = lambda c: F.coalesce(F.col(c) != 0, F.lit(True))
+    is_active = differs("total_roi") | differs("win_rate") | differs("profit_loss_ratio")
     active = percent_ranks(split.where(is_active), RANKED, ["split"], limit)
     total = sum((F.col(c) for c in list(RANKED.values())[1:]), F.col(list(RANKED.values())[0]))
     scored = materialise(active.withColumn("composite_score", total / 3.0).drop(*RANKED.values()), "scored")
     bars = percentiles(scored, ["composite_score"], [1 - top], ["split"], limit).select(
         "split", F.col("composite_score")[0].alias("_bar")
     )
-    # Three splits at most: the table of bars has three rows.
-    marked = scored.join(F.broadcast(bars), "split").select(
+    # One row per split.
+    marked = null_safe_join(scored, bars, ["split"], "left").select(
         *split.columns,
-        (F.col("composite_score") >= F.col("_bar")).cast("int").alias(schemas.LABEL),
+        F.coalesce((F.col("composite_score") >= F.col("_bar")).cast("int"), F.lit(0)).alias(schemas.LABEL),
         "composite_score",
         F.lit("composite_rank").alias("label_source"),
     )
@@ -158,7 +162,8 @@ def legacy_split(df: DataFrame, order: list[str] | None = None, share: float = 0
     size = df.agg(F.floor(F.count_if("is_train") * F.lit(share)).alias("_cut"))
     split = F.when(F.col("_rn") <= F.col("_cut"), "train").otherwise("val")
     placed = cross_scalar(train, size).withColumn("split", split).drop("_rn", "_cut")
-    return placed.unionByName(df.where(~F.col("is_train")).withColumn("split", F.lit("test")))
+    rest = df.where(~F.coalesce(F.col("is_train"), F.lit(False)))
+    return placed.unionByName(rest.withColumn("split", F.lit("test")))
 
 
 def split_summary(labeled: DataFrame) -> DataFrame:

@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from augury.functions.numbers import clip, safe_div, significance_stars
-from augury.operators.ordered import ordered
+from augury.operators.ordered import null_safe_join, ordered
 
 # Fixed value: distance from 0 and 1 at which the log loss is cut off (machine epsilon of doubles).
 EPSILON = 2.220446049250313e-16
 
 
 def _join(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    return a.join(b, by, how) if by else a.crossJoin(b)
+    return null_safe_join(a, b, by, how)
 
 
 def score_steps(predictions: DataFrame, by: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -84,13 +84,15 @@ class OrderedRows:
         return replace(self, whole=whole, runs=runs)
 
     def previous(self, value: Column, out: str) -> "OrderedRows":
-        """Add the value of the row before; ``value`` must not be NULL."""
+        """Add the value of the row before, NULL included; the first row of a group gets NULL."""
         whole, runs = self.whole, self.runs
         if whole is not None:
             whole = whole.withColumn(out, F.lag(value).over(self._window()))
         if runs is not None:
-            scanned = self._with_carry("last", value).withColumn(out, F.lag(value).over(self._window("_run")))
-            runs = scanned.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_carry")
+            # In a struct a NULL value differs from no row before: only the first row of a run takes the carry.
+            boxed = F.struct(value.alias("v"))
+            scanned = self._with_carry("last", boxed).withColumn(out, F.lag(boxed).over(self._window("_run")))
+            runs = scanned.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))["v"]).drop("_carry")
         return replace(self, whole=whole, runs=runs)
 
     @property

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from augury.operators.ordered import group_sizes_over, ordered
+from augury.operators.ordered import group_sizes_over, null_safe_join, ordered
 from augury.session import materialise, rows_per_task
 
 # Most rows per group for the built-in exact percentile, which keeps all values of a group in one task's memory.
@@ -21,7 +21,7 @@ def value_ranks(df: DataFrame, cols: list[str], by: list[str], limit: int | None
     counts = materialise(long.groupBy(*by, "name", "value").count(), "values")
     ranked = ordered(counts, [*by, "name"], ["value"], limit).running("sum", F.col("count"), "upto").df
     totals = counts.groupBy(*by, "name").agg(F.sum("count").alias("n"))
-    return ranked.join(totals, [*by, "name"])
+    return null_safe_join(ranked, totals, [*by, "name"], "inner")
 
 
 def percentiles(
@@ -52,21 +52,27 @@ def percentiles(
         for i, p in enumerate(probs)
     ]
     values = picked.select(*by, "name", F.array(*between).alias("q"))
-    return values.groupBy(*by).agg(*[F.first(F.when(F.col("name") == c, F.col("q")), True).alias(c) for c in cols])
+    found = values.groupBy(*by).agg(*[F.first(F.when(F.col("name") == c, F.col("q")), True).alias(c) for c in cols])
+    # Groups without any value keep their row, as in the built-in aggregate.
+    return null_safe_join(df.select(*by).distinct(), found, by, "left") if by else found
 
 
 def percent_ranks(
     df: DataFrame, cols: dict[str, str], by: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Add, per entry ``column: out``, the average rank of ties divided by the number of rows of the group."""
+    """Add, per entry ``column: out``, the average rank of ties divided by the number of values of the group.
+
+    NULLs have no rank and don't count; rows with a NULL key form a group.
+    """
     by = list(by or [])
     limit = limit or rows_per_task(df.sparkSession)
     if not group_sizes_over(df, by, limit):
         group = Window.partitionBy(*by)
         ranks = [
-            (
-                (F.rank().over(group.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0)
-                / F.count("*").over(group)
+            F.when(
+                F.col(c).isNotNull(),
+                (F.rank().over(group.orderBy(F.col(c).asc_nulls_last())) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0)
+                / F.count(c).over(group),
             ).alias(out)
             for c, out in cols.items()
         ]
@@ -75,5 +81,5 @@ def percent_ranks(
     share = (F.col("upto") - F.col("count") + (F.col("count") + 1) / 2.0) / F.col("n")
     for c, out in cols.items():
         one = ranked.where(F.col("name") == c).select(*by, F.col("value").alias(c), share.alias(out))
-        df = df.join(one, [*by, c], "left")
+        df = null_safe_join(df, one, [*by, c], "left")
     return df

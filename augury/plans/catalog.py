@@ -19,7 +19,7 @@ from augury.operators import labels as L, metrics as M, reports as R
 from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
 from augury.plans.sql import money, r
-from augury.session import materialise, scratch_path
+from augury.session import materialise, releases, scratch_path
 from augury.sources import feed as A, sample_tables as D, tables as B
 from augury.streaming import feed as W
 
@@ -588,14 +588,22 @@ def volume_share(spark, sf):
     select p.transaction_id, coalesce(t.price, p.entry_price) as asof_price
     from probes p asof left join cleaned t on p.market_id = t.market_id and p.at >= t.timestamp""",
 )
-def asof_prices(spark, sf):
+def asof_prices(spark, sf, limit=None):
     trades = cleaned(spark, sf)
     probes = trades.select(
         "transaction_id", "market_id", F.col("price").alias("entry_price"),
         (F.col("timestamp") - F.expr("interval 1 hour")).alias("at"),
     )
     ticks = trades.select("market_id", "timestamp", "transaction_id", "price")
-    return asof.asof_join(probes, ticks, default="entry_price").select("transaction_id", "asof_price")
+    raw = D.trades(spark, sf).select("market_id")  # a probe and a tick per trade at most
+    joined = asof.asof_join(probes, ticks, default="entry_price", limit=limit, sizes_from=raw.union(raw))
+    return joined.select("transaction_id", "asof_price")
+
+
+@query("asof_prices_cut", ORACLES["asof_prices"])
+def asof_prices_cut(spark, sf):
+    """The same with markets of over 20 rows cut into runs."""
+    return asof_prices(spark, sf, limit=20)
 
 
 # ---------------------------------------------------------------- features
@@ -634,10 +642,16 @@ _FEATURE_COLUMNS = [*schemas.FEATURES, "Risk_Adjusted_Return"]
     "feature_matrix",
     f"""{S.ALL_FEATURES} select address, {", ".join(f"{r(c)} as {c}" for c in _FEATURE_COLUMNS)} from features""",
 )
-def feature_matrix(spark, sf):
+def feature_matrix(spark, sf, limit=None):
     trades = D.trades(spark, sf)
     kept = C.clean(trades, S.MIN_TRADES, S.MIN_VOLUME)
-    return tidy(P.build_features(kept, D.resolutions(spark, sf), sizes_from=trades))
+    return tidy(P.build_features(kept, D.resolutions(spark, sf), limit=limit, sizes_from=trades))
+
+
+@query("feature_matrix_cut", ORACLES["feature_matrix"])
+def feature_matrix_cut(spark, sf):
+    """The same with traders of over 20 trades cut into runs and quantiles by distributed counts."""
+    return feature_matrix(spark, sf, limit=20)
 
 
 @query(
@@ -666,8 +680,14 @@ def drawdown_by_time(spark, sf):
     f"""with {S.TRADES} select transaction_id,
     {r("percent_rank() over (partition by market_id order by timestamp)")} as early_entry_pct from trades""",
 )
-def early_entry_pct(spark, sf):
-    return tidy(P.early_entry_pct(D.trades(spark, sf)).select("transaction_id", "early_entry_pct"))
+def early_entry_pct(spark, sf, limit=None):
+    return tidy(P.early_entry_pct(D.trades(spark, sf), limit).select("transaction_id", "early_entry_pct"))
+
+
+@query("early_entry_cut", ORACLES["early_entry_pct"])
+def early_entry_cut(spark, sf):
+    """The same with markets of over 20 trades cut into runs."""
+    return early_entry_pct(spark, sf, limit=20)
 
 
 @query(
@@ -787,11 +807,34 @@ def split_summary(spark, sf):
       + (count(*) over (partition by split, win_rate) - 1) / 2.0::double) / count(*) over (partition by split)''')} as win_rank
     from sparse_returns join placed using (address)""",
 )
-def win_rate_ranks(spark, sf):
-    ranked = percent_ranks(_sparse_features(spark, sf), {"win_rate": "win_rank"}, ["split"])
+def win_rate_ranks(spark, sf, limit=None):
+    ranked = percent_ranks(_sparse_features(spark, sf), {"win_rate": "win_rank"}, ["split"], limit)
     return tidy(ranked.select("address", "win_rank"))
 
 
+@query("percent_ranks_cut", ORACLES["percent_ranks"])
+def win_rate_ranks_cut(spark, sf):
+    """The same with splits of over 50 traders ranked by distributed counts."""
+    return win_rate_ranks(spark, sf, limit=50)
+
+
+@query(
+    "percent_ranks_missing",
+    f"""with {S.SPARSE}, {_SPLIT.format(t="sparse")}, {_SPARSE_RETURNS},
+    t as (select address, nullif(split, 'val') as split, case when win_rate > 0.2 then win_rate end as win_rate
+          from sparse_returns join placed using (address))
+    select address, {r('''case when win_rate is not null then (rank() over (partition by split order by win_rate nulls last)
+      + (count(*) over (partition by split, win_rate) - 1) / 2.0::double) / count(win_rate) over (partition by split) end''')} as win_rank
+    from t""",
+)
+def win_rate_ranks_missing(spark, sf, limit=50):
+    """Ranks with missing values and a missing split, by distributed counts."""
+    some = _sparse_features(spark, sf).withColumns(
+        {"split": F.nullif(F.col("split"), F.lit("val")), "win_rate": F.when(F.col("win_rate") > 0.2, F.col("win_rate"))}
+    )
+    return tidy(percent_ranks(some, {"win_rate": "win_rank"}, ["split"], limit).select("address", "win_rank"))
+
+
 @query(
     "model_input",
     f"""{S.ALL_FEATURES}, {_SPLIT.format(t="cleaned")}, {S.labels()}
@@ -1202,12 +1245,12 @@ _CANDIDATES = {
     "Gradient Boosting": models.Candidate(models.boosting, {"n_estimators": [10], "max_depth": [3]}, early_stop=True),
     "Gaussian NB": models.Candidate(models.naive_bayes, {}),
 }
-_trained: dict[tuple[str, str], tuple[training.Training, DataFrame]] = {}
+_trained: dict[tuple[str, str, int], tuple[training.Training, DataFrame]] = {}
 
 
 def trained(spark, sf):
-    """One training run per session and data set, shared by the model queries."""
-    key = (spark.sparkContext.applicationId, sf)
+    """One training run per session and data set, shared by the model queries until its tables are released."""
+    key = (spark.sparkContext.applicationId, sf, releases())
     if key not in _trained:
         trades = D.sparse_trades(spark, sf)
         features = P.build_features(C.clean(trades, 1, 0.0), D.resolutions(spark, sf), sizes_from=trades)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from augury.operators import clean, features, labels
 from augury.sources.tables import write_table
@@ -22,14 +22,16 @@ def preprocess(
 ) -> DataFrame:
     """Clean, compute features, split and label; writes ``cleaned`` and ``model_input`` below ``out``.
 
-    The cleaned trades are written because features, splits and labels all read them.
+    The cleaned trades are written because features, splits and labels all read them. With ``as_of`` none of the
+    three sees later trades.
     """
     spark = trades.sparkSession
     write_table(clean.clean(trades, min_trades, min_volume, top_percentile), f"{out}/cleaned", mode="overwrite")
     cleaned = spark.read.parquet(f"{out}/cleaned")
     matrix = features.build_features(cleaned, resolutions, as_of=as_of)
-    split = labels.temporal_split(matrix, cleaned, train, val)
-    labeled = labels.label_traders(split, cleaned, resolutions, mode=label_mode)
+    seen = cleaned if as_of is None else cleaned.where(F.col("timestamp") < F.lit(as_of).cast("timestamp"))
+    split = labels.temporal_split(matrix, seen, train, val)
+    labeled = labels.label_traders(split, seen, resolutions, mode=label_mode)
     write_table(labeled, f"{out}/model_input", mode="overwrite", partition_by=["split"])
     return spark.read.parquet(f"{out}/model_input")
 

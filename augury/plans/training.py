@@ -18,7 +18,7 @@ from augury.session import materialise, scratch_path
 from augury.sources.tables import write_metrics_json
 
 
-# Training rows per partition of a fit.
+# Default of the training rows per partition of a fit. Tree sampling follows the partitions, so it is a parameter.
 ROWS_PER_PARTITION = 50_000
 
 
@@ -33,10 +33,14 @@ def _labelled(scored: DataFrame) -> DataFrame:
 FOLDS = range(1, 6)
 
 
-def fold_rows(candidate: M.Candidate, blocks: DataFrame, val: DataFrame | None, k: int) -> DataFrame:
-    """What fold ``k`` trains on: the blocks before it, and the validation rows where the family stops early."""
-    train = blocks.where(F.col("block") < k).drop("block")
-    return train.unionByName(val) if candidate.early_stop and val is not None else train
+def fold_rows(blocks: DataFrame, k: int) -> DataFrame:
+    """What fold ``k`` trains on: the blocks before it."""
+    return blocks.where(F.col("block") < k).drop("block")
+
+
+def fold_size(n: int, k: int) -> int:
+    """Rows that fold ``k`` trains on: all but the blocks from k on, each a sixth of the rows, rounded down."""
+    return n - (len(FOLDS) + 1 - k) * (n // (len(FOLDS) + 1))
 
 
 def search(
@@ -55,7 +59,8 @@ def search(
 
     def fit_and_score(task: tuple[int, int]) -> None:
         i, k = task
-        model = candidate.build(points[i], n * k // 6).fit(fold_rows(candidate, blocks, val, k))
+        extra = val if candidate.early_stop else None
+        model = M.fit_weighted(candidate.build(points[i], fold_size(n, k)), fold_rows(blocks, k), extra)
         tested = _labelled(M.score(model, blocks.where(F.col("block") == k)))
         tested.select("actual_label", "predicted_probability").write.parquet(f"{scores}/point={i}/block={k}")
 
@@ -73,7 +78,8 @@ def calibrated_cv(candidate: M.Candidate, params: dict, blocks: DataFrame, val:
     folds = []
     for k in FOLDS:
         train = blocks.where(F.col("block") < k).drop("block")
-        model = M.calibrate(lambda: candidate.build(params, n * k // 9), train, val if candidate.early_stop else None)
+        size = fold_size(n, k) * 2 // 3  # two of three calibration parts
+        model = M.calibrate(lambda: candidate.build(params, size), train, val if candidate.early_stop else None)
         folds.append(_labelled(model.predict(blocks.where(F.col("block") == k))))
     scored = _union(folds).select("block", "actual_label", "predicted_label", "predicted_probability")
     return metrics.evaluate(materialise(scored, "folds"), ["block"])
@@ -91,20 +97,21 @@ class Training:
 
 def train_all(
     model_input: DataFrame, candidates: dict[str, M.Candidate] | None = None, parallelism: int = 8,
-    detailed_cv: bool = True,
+    detailed_cv: bool = True, rows_per_partition: int = ROWS_PER_PARTITION,
 ) -> Training:
-    """Search, calibrate and score every candidate. Fits run on the executors; the driver only loops over settings."""
+    """Search, calibrate and score every candidate. Fits run on the executors; the driver only loops over settings.
+
+    Class weights come from the rows of each fit: a fold knows nothing of later blocks.
+    """
     candidates = candidates or M.CANDIDATES
     spark = model_input.sparkSession
     rows = materialise(
         M.assemble_features(model_input).withColumn("is_val", F.col("split") == "val"), "assembled"
     )
-    train = materialise(M.with_weights(rows.where("split = 'train'")), "train")
-    # Early stopping weighs validation rows as they are.
-    val = rows.where("split = 'val'").withColumns({"balanced": F.lit(1.0), "pos_scaled": F.lit(1.0)})
+    train, val = materialise(rows.where("split = 'train'"), "train"), rows.where("split = 'val'")
     n = train.count()
     # Every boosting round and every optimiser step is a job: small tables run best in few partitions.
-    pieces = max(1, n // ROWS_PER_PARTITION)
+    pieces = max(1, n // rows_per_partition)
     train, val = train.coalesce(pieces), val.coalesce(pieces)
     blocks = materialise(M.expanding_blocks(train), "blocks").coalesce(pieces)
     has_val = val.limit(1).count() > 0
@@ -113,7 +120,7 @@ def train_all(
         started = time.time()
         extra = val if candidate.early_stop and has_val else None
         params, cv_auc = search(candidate, blocks, extra, n, parallelism)
-        model = M.calibrate(lambda: candidate.build(params, n * 2 // 3), train, extra)
+        model = M.calibrate(lambda: candidate.build(params, n * 2 // 3), train, extra, pieces=pieces)
         elapsed = time.time() - started
         fitted[name], parameters[name] = model, params
         scored = _labelled(model.predict(rows)).select(
@@ -126,8 +133,8 @@ def train_all(
         info.append((name, position, float(cv_auc), float(elapsed)))
 
     def fit_plain(name: str) -> PipelineModel:
-        rows = train.unionByName(val) if candidates[name].early_stop and has_val else train
-        return candidates[name].build(parameters[name], n).fit(rows)
+        extra = val if candidates[name].early_stop and has_val else None
+        return M.fit_weighted(candidates[name].build(parameters[name], n), train, extra)
 
     return Training(
         _union(predictions), fitted, parameters,

@@ -53,6 +53,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _paths: dict[str, list[str]] = {}  # scratch paths handed out, per application
+_releases = 0
+
+
+def releases() -> int:
+    """How often ``release`` has run: results kept from before hold on to tables that are gone."""
+    return _releases
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,6 +73,8 @@ def release(spark: SparkSession) -> int:
 
     Call it once results are stored: tables that still read an intermediate one can no longer be computed.
     """
+    global _releases
+    _releases += 1
     done = _paths.pop(spark.sparkContext.applicationId, [])
     conf = spark._jsc.hadoopConfiguration()
     for path in done:

@@ -32,8 +32,6 @@ def main() -> None:
         {
             "spark.sql.shuffle.partitions": CPUS,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
-            # One partition per core: at this size merging small partitions only idles cores.
-            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -60,7 +60,8 @@ def test_large_groups_are_cut(spark, frame):
 
 @pytest.mark.parametrize("by", [None, ["k"]])
 def test_percentiles_of_large_groups_are_exact(spark, frame, by):
-    df = spark.createDataFrame(frame, "k string, t int, id long, v double").where("k is not null")
+    df = spark.createDataFrame(frame, "k string, t int, id long, v double").withColumn("v", F.when(F.col("v") < 4, F.col("v")))
+    df = df.withColumn("v", F.when(~F.col("k").eqNullSafe("c3"), F.col("v")))  # a group without any value
     probs = [0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
     flat = lambda q: q.select(*(by or []), F.posexplode(F.arrays_zip("v", "t"))).select(*(by or []), "pos", "col.v", "col.t")
     same_rows(flat(percentiles(df, ["v", "t"], probs, by, limit=20)), flat(percentiles(df, ["v", "t"], probs, by)))
@@ -74,10 +75,20 @@ def test_percentiles_match_pandas(spark, frame):
 
 
 def test_percent_ranks(spark, frame):
-    df = spark.createDataFrame(frame, "k string, t int, id long, v double").where("k is not null")
+    df = spark.createDataFrame(frame, "k string, t int, id long, v double").withColumn("v", F.when(F.col("v") < 4, F.col("v")))
     wide = percent_ranks(df, {"t": "rt", "v": "rv"}, ["k"])
     same_rows(wide, percent_ranks(df, {"t": "rt", "v": "rv"}, ["k"], limit=20))
-    p = frame.dropna(subset=["k"]).copy()
-    p["rt"] = p.groupby("k")["t"].rank(pct=True)
-    got = wide.toPandas().sort_values("id")["rt"].tolist()
-    assert got == pytest.approx(p.sort_values("id")["rt"].tolist())
+    p = frame.copy()
+    p["v"] = p["v"].where(p["v"] < 4)
+    got = wide.toPandas().sort_values("id")
+    for c in ("t", "v"):
+        expected = p.groupby("k", dropna=False)[c].rank(pct=True)
+        pd.testing.assert_series_equal(got[f"r{c}"].reset_index(drop=True), expected, check_names=False)
+
+
+def test_previous_carries_null(spark):
+    rows = [("a", i, None if i % 3 == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    for limit in (5, 1000):
+        got = ordered(df, ["k"], ["t"], limit).previous(F.col("v"), "p").df.orderBy("t").collect()
+        assert [r["p"] for r in got] == [None, *(v for _, _, v in rows[:-1])]
