@@ -18,6 +18,7 @@ from augury.operators import asof, clean as C, equity as Q, events as V, feature
 from augury.operators import labels as L, metrics as M, reports as R
 from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
+from augury.plans.preprocess import preprocess
 from augury.plans.sql import money, r
 from augury.session import materialise, releases, scratch_path
 from augury.sources import feed as A, sample_tables as D, tables as B
@@ -162,6 +163,63 @@ def active_wallets(spark, sf):
     return A.active_wallets(D.fills(spark, sf))
 
 
+@query(
+    "top_market_wallets",
+    """with top as (select p_partkey from part where p_partkey % 3 = 0 order by p_retailprice desc, 'p' || p_partkey limit 50)
+    select distinct address from (
+         select 's' || l_suppkey as address from lineitem where l_returnflag <> 'R' and l_partkey in (from top)
+         union all select 'c' || l_orderkey from lineitem where l_partkey in (from top)) order by address limit 300""",
+)
+def top_market_wallets(spark, sf):
+    return A.top_market_wallets(D.market_objects(spark, sf), D.fills(spark, sf), 50, target=300)
+
+
+@query(
+    "feed_outcomes",
+    f"with {S.FEED} select arrival, transaction_id, coalesce(outcome, 'No') as outcome from feed",
+)
+def feed_outcomes(spark, sf):
+    """Outcomes where the feed gives some under the other name only."""
+    body = F.regexp_replace("body", '"title"', '"_outcome":"No","title"')
+    raw = A.parse_feed_text(D.feed_text(spark, sf).withColumn("body", body), "body")
+    return A.normalize_feed(raw, keep=("arrival",)).select("arrival", "transaction_id", "outcome")
+
+
+_TEXTS = ["yes", " Up ", "TRUE", "1", "higher", "over", "win", "no", "Down", "false", "0", "lower", "under", "lose",
+          "0.7", "0.5", "0.2", "1e3", "-4", "", "__OPEN__", "nan", "maybe", "1.0d", "inf", " draw"]
+
+
+@query(
+    "outcome_readings",
+    f"""with texts as (select p_partkey, [{", ".join(f"'{t}'" for t in _TEXTS)}][p_partkey % {len(_TEXTS)} + 1] as t from part)
+    select p_partkey as item,
+      case when t in ('', '__OPEN__', 'nan') then 'OPEN'
+           when trim(lower(t)) in ('yes', 'up', 'true', '1', 'higher', 'over', 'win', '0.7', '1e3', 'inf') then 'YES'
+           when trim(lower(t)) in ('no', 'down', 'false', '0', 'lower', 'under', 'lose', '0.5', '0.2', '-4') then 'NO'
+           else 'UNKNOWN' end as reading,
+      case when lower(t) in ('yes', '1', 'true', 'up') then 'YES' when lower(t) in ('no', '0', 'false', 'down') then 'NO' else 'OPEN' end as strict_reading
+    from texts""",
+)
+def outcome_readings(spark, sf):
+    """Both readings over all kinds of texts."""
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("p_partkey") % len(_TEXTS) + 1).cast("int"))
+    items = D.table(spark, sf, "part").select(F.col("p_partkey").alias("item"), text.alias("t"))
+    return items.select("item", O.normalise_outcome(F.col("t")).alias("reading"), O.normalise_resolution_strict(F.col("t")).alias("strict_reading"))
+
+
+@query(
+    "replaced_table",
+    f"with {S.TRADES} select transaction_id, address, amount, price from trades",
+)
+def replaced_table(spark, sf):
+    """A table that held other rows, emptied and loaded again."""
+    path = scratch_path(spark, "replaced")
+    trades = D.trades(spark, sf)
+    B.write_table(trades.where("amount < 10"), path)
+    B.replace_all(trades, path)
+    return tidy(spark.read.schema(schemas.TRADES).parquet(path).select("transaction_id", "address", "amount", "price"))
+
+
 @query(
     "sample_export",
     f"""with {S.TRADES} select transaction_id, address, market_id, side, amount, price, epoch_us(timestamp) as timestamp
@@ -848,6 +906,21 @@ def model_input(spark, sf):
     return tidy(L.label_traders(split, trades, resolutions, mode="auto"))
 
 
+@query(
+    "model_input_as_of",
+    f"""{S.ALL_FEATURES.replace("from events)", "from events where ts < timestamp '2024-01-28 00:00:00')", 1)}, {_SPLIT.format(t="cleaned")}, {S.labels()}
+    select address, {", ".join(f"{r(c)} as {c}" for c in _FEATURE_COLUMNS)}, first_trade_date, split,
+           split = 'train' as is_train, n_resolved, n_correct, accuracy, Trader_Success_Rate, label_source
+    from features join placed using (address) join labels using (address) where Trader_Success_Rate <> -1""",
+)
+def model_input_as_of(spark, sf):
+    """The model input of a past day, out of a table that holds later trades too."""
+    made = preprocess(
+        D.trades(spark, sf), D.resolutions(spark, sf), scratch_path(spark, "as-of"), S.MIN_TRADES, S.MIN_VOLUME, as_of="2024-01-28 00:00:00"
+    )
+    return tidy(made)
+
+
 @query(
     "model_input_composite",
     f"""{S.ALL_FEATURES}, {_SPLIT.format(t="cleaned")},
@@ -1264,6 +1337,16 @@ def model_comparison(spark, sf):
     return training.model_comparison(trained(spark, sf)[0]).drop("position", "train_time_sec")
 
 
+@query("training_report")
+def training_report(spark, sf):
+    """Parameters and metrics of every model, through the written report."""
+    run, path = trained(spark, sf)[0], scratch_path(spark, "report")
+    training.write_report(run, path)
+    shape = training.training_report(run)
+    written = spark.read.schema(shape.schema).json(f"{path}/training_report")
+    return written.drop("position", "train_time_sec")
+
+
 @query("best_model")
 def best_model(spark, sf):
     return training.select_best(training.model_comparison(trained(spark, sf)[0])).select("model", "auc_roc")
@@ -1347,6 +1430,22 @@ def _drained(stream: DataFrame, root: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+@query(
+    "stream_ingest_batches",
+    f"""with {S.FEED} select transaction_id, address, market_id, side, outcome, amount, price, timestamp_us as timestamp from feed
+    qualify row_number() over (partition by transaction_id order by arrival) = 1""",
+)
+def stream_ingest_batches(spark, sf):
+    """All columns of the kept rows after several micro-batches of one file each, with repeats across the files."""
+    root = scratch_path(spark, "stream")
+    feed, total = D.feed_text(spark, sf), D.table(spark, sf, "events").count()
+    for k in range(4):  # one after the other: the files' times are the order of arrival
+        part = feed.where(F.floor(F.col("arrival") * 4 / (total + 1)) == k).coalesce(1).sortWithinPartitions("arrival")
+        part.select("body").write.mode("append").text(f"{root}/pages", lineSep="\n")
+    W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=1, lines=True).awaitTermination()
+    return tidy(W.read_store(spark, f"{root}/store").drop("title", "slug", "event_slug", "batch"))
+
+
 @query(
     "stream_dedup",
     f"with {S.FEED} select distinct transaction_id from feed where timestamp_us is not null",

@@ -22,17 +22,22 @@ def preprocess(
 ) -> DataFrame:
     """Clean, compute features, split and label; writes ``cleaned`` and ``model_input`` below ``out``.
 
-    The cleaned trades are written because features, splits and labels all read them. With ``as_of`` none of the
-    three sees later trades.
+    The cleaned trades are written because features, splits and labels all read them. With ``as_of`` (a timestamp)
+    these three come from the trades before it alone, cleaned by themselves: later trades change nothing.
     """
     spark = trades.sparkSession
-    write_table(clean.clean(trades, min_trades, min_volume, top_percentile), f"{out}/cleaned", mode="overwrite")
-    cleaned = spark.read.parquet(f"{out}/cleaned")
-    matrix = features.build_features(cleaned, resolutions, as_of=as_of)
-    seen = cleaned if as_of is None else cleaned.where(F.col("timestamp") < F.lit(as_of).cast("timestamp"))
+    cleaned = clean.clean(trades, min_trades, min_volume, top_percentile)
+    schema = cleaned.schema
+    write_table(cleaned, f"{out}/cleaned", mode="overwrite")
+    seen = spark.read.schema(schema).parquet(f"{out}/cleaned")
+    if as_of is not None:
+        before = trades.where(F.col("timestamp") < F.lit(as_of).cast("timestamp"))
+        write_table(clean.clean(before, min_trades, min_volume, top_percentile), f"{out}/seen", mode="overwrite")
+        seen = spark.read.schema(schema).parquet(f"{out}/seen")
+    matrix = features.build_features(seen, resolutions)
     split = labels.temporal_split(matrix, seen, train, val)
     labeled = labels.label_traders(split, seen, resolutions, mode=label_mode)
     write_table(labeled, f"{out}/model_input", mode="overwrite", partition_by=["split"])
-    return spark.read.parquet(f"{out}/model_input")
+    return spark.read.schema(labeled.schema).parquet(f"{out}/model_input")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -178,6 +179,23 @@ def overfit_flags(training: Training) -> DataFrame:
     return metrics.overfit_flags(training.predictions, ["model"])
 
 
+def training_report(training: Training) -> DataFrame:
+    """One row per model: its chosen parameters as JSON, the test metrics, and the fold means where folds were run."""
+    chosen = [(name, json.dumps(params, sort_keys=True)) for name, params in training.parameters.items()]
+    # One row per model: tiny by construction.
+    parameters = F.broadcast(training.predictions.sparkSession.createDataFrame(chosen, "model string, parameters string"))
+    report = model_comparison(training).join(parameters, "model")
+    return report if training.cv is None else report.join(F.broadcast(cv_results(training)), "model", "left")
+
+
+def write_report(training: Training, path: str) -> None:
+    """The report, the model pairs and the fold metrics as JSON tables below ``path``."""
+    write_metrics_json(training_report(training), f"{path}/training_report")
+    write_metrics_json(mcnemar_tests(training), f"{path}/mcnemar")
+    if training.cv is not None:
+        write_metrics_json(training.cv, f"{path}/cv_folds")
+
+
 def export_predictions(training: Training, name: str) -> DataFrame:
     """Test predictions of one model in the exported shape, the surest first."""
     rows = training.predictions.where((F.col("split") == "test") & (F.col("model") == name))

@@ -29,7 +29,7 @@ EQUITY = _schema(timestamp=TS, cash=DBL, positions_value=DBL, total_equity=DBL)
 # One trade object of the public feed. Numbers are read as text, because the feed also sends quoted numbers.
 FEED_TRADE = _schema(
     transactionHash=STR, proxyWallet=STR, conditionId=STR, side=STR, size=STR, price=STR, timestamp=STR,
-    outcome=STR, title=STR, slug=STR, eventSlug=STR,
+    outcome=STR, _outcome=STR, title=STR, slug=STR, eventSlug=STR,
 )
 # One market object; the array fields hold JSON text.
 FEED_MARKET = _schema(

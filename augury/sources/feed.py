@@ -20,7 +20,8 @@ def parse_feed_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def normalize_feed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Feed objects to trade rows. Missing numbers count as 0, a bad time becomes NULL, objects without a hash go.
+    """Feed objects to trade rows. Missing numbers count as 0, a bad time becomes NULL, objects without a hash go. The
+    outcome may be in ``_outcome`` instead.
 
     ``keep`` names further columns of ``raw`` to carry along, such as an arrival number.
     """
@@ -31,7 +32,7 @@ def normalize_feed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         text("proxyWallet").alias("address"),
         text("conditionId").alias("market_id"),
         text("side").alias("side"),
-        F.nullif(F.col("outcome"), F.lit("")).alias("outcome"),
+        coalesce_outcome(F.col("outcome"), F.col("_outcome")).alias("outcome"),
         number("size").alias("amount"),
         number("price").alias("price"),
         F.timestamp_seconds(F.col("timestamp").try_cast("bigint")).alias("timestamp"),
@@ -97,3 +98,9 @@ def active_wallets(fills: DataFrame, target: int | None = None) -> DataFrame:
     sides = F.explode(F.array("maker_address", "taker_address"))
     wallets = fills.select(sides.alias("address")).where(F.coalesce("address", F.lit("")) != "").distinct()
     return wallets if target is None else wallets.orderBy("address").limit(target)
+
+
+def top_market_wallets(markets: DataFrame, fills: DataFrame, n_markets: int = 50, target: int | None = None) -> DataFrame:
+    """Wallets seen in the fills of the open markets with the most volume."""
+    top = top_markets_by_volume(markets, n_markets, closed=False).select(F.col("conditionId").alias("market"))
+    return active_wallets(fills.join(top, "market", "left_semi"), target)

@@ -8,7 +8,7 @@ import statistics
 import time
 
 from augury.plans import catalog
-from augury.session import build_session
+from augury.session import build_session, release
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -42,6 +42,7 @@ def main() -> None:
         run = lambda name=name: catalog.QUERIES[name](spark, SF_DIR)
         seconds(run)
         timings[name] = round(statistics.median(seconds(run) for _ in range(3)), 3)
+        release(spark)
     print(
         json.dumps(
             {
