@@ -96,8 +96,10 @@ def test_windows_score_each_id_once_and_agree_with_one_pass():
     scored = index[:, lm.WINDOW :]
     assert sorted(scored[scored >= 0].tolist()) == list(range(sizes.sum() + len(sizes)))
     x, target, _ = lm.sequences(ids, sizes, 50)
-    logits, _ = lm.forward(model.w, model.row_of[x], index)
-    logp = logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+    z, f, _ = lm.forward(model.w, model.row_of[x], index)
+    softmax = lambda z: z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+    member = np.einsum("abi,gij->abgj", f, model.w["member"]) + model.w["member_b"]
+    logp = (softmax(z)[..., None] + softmax(member)).reshape(*z.shape[:2], -1)
     want = np.maximum(scored, 0)
     each = np.take_along_axis(logp, model.class_of[target[want]][..., None], -1)[..., 0] + model.share[target[want]]
     total = np.bincount(text, np.where(scored >= 0, each, 0).sum(axis=1), len(sizes)) / lm.LN10
@@ -112,16 +114,30 @@ def test_gradients():
     x, _, seq = lm.sequences(ids, sizes, 30)
     index, _ = lm.windows(seq)
     rows = model.row_of[x]
-    z, state = lm.forward(w, rows, index, keep=True)
-    weight = draw.standard_normal(z.shape)
-    grads = lm.backward(w, state, weight)
+    want = model.class_of[draw.integers(0, 31, index[:, lm.WINDOW :].size)]
+    weight = draw.random(len(want))
+
+    def loss():
+        z, f, state = lm.forward(w, rows, index, keep=True)
+        z, f = z.reshape(-1, lm.GROUPS), f.reshape(-1, lm.WIDTH)
+        softmax = lambda z: z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+        group, place, row = want // lm.MEMBERS, want % lm.MEMBERS, np.arange(len(want))
+        member = np.einsum("ni,nij->nj", f, w["member"][group]) + w["member_b"][group]
+        return -(weight * (softmax(z)[row, group] + softmax(member)[row, place])).sum(), z, f, state
+
+    _, z, f, state = loss()
+    dz, df, g_member, g_bias = lm.choice_gradients(w, z, f, want, weight)
+    shape = (len(index), lm.WINDOW, -1)
+    grads = lm.backward(w, state, dz.reshape(shape), df.reshape(shape)) | {"member": g_member, "member_b": g_bias}
+    group = int(want[0] // lm.MEMBERS)
     for name in w:
-        at = tuple(draw.integers(0, s) for s in w[name].shape) if name != "embed" else (rows[5], 3)
+        at = (rows[5], 3) if name == "embed" else tuple(draw.integers(0, s) for s in w[name].shape)
+        at = (group, *at[1:]) if name.startswith("member") else at
         step, kept = 1e-5, w[name][at]
         w[name][at] = kept + step
-        up = (lm.forward(w, rows, index)[0] * weight).sum()
+        up = loss()[0]
         w[name][at] = kept - step
-        down = (lm.forward(w, rows, index)[0] * weight).sum()
+        down = loss()[0]
         w[name][at] = kept
         assert np.isclose((up - down) / (2 * step), grads[name][at], rtol=1e-3, atol=1e-5), name
 
