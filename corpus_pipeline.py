@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from augury.llm import bpe, jaccard, langid, mixing, pii
 from augury.session import materialise
 
-LEAST_SCORE = 0.3  # proportion of the main language below which a text counts as no language
+LEAST_SCORE = 0.3  # proportion of all languages together below which a text counts as noise
+FEW_LETTERS = 60  # with fewer the proportion says too little to reject a text
 ORACLE_SQL = None  # language models, the field and the tokenizer are beyond SQL; tests compare with brute force
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language. Texts without letters and texts that are mostly noise go."""
+    """Documents in one or more languages. Texts without letters go, and those of ``FEW_LETTERS`` and more that are mostly noise."""
     found = langid.identify(docs, langid.learn(docs), keep=(F.struct("*").alias("__doc"),))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("__doc.*")
+    known = F.aggregate(F.map_values("langs"), F.lit(0.0), lambda total, share: total + share)
+    few = F.col("n_letters").between(1, FEW_LETTERS - 1)
+    return found.where(few | ((F.col("n_letters") > 0) & (known >= LEAST_SCORE))).select("__doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
