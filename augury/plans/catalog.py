@@ -1311,24 +1311,17 @@ def overfit_flags(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-# Small search spaces for the registered runs; the full ones are the defaults of augury.plans.training.
-_CANDIDATES = {
-    "Logistic Regression": models.Candidate(models.logistic, {"C": [0.1, 10.0]}),
-    "Random Forest": models.Candidate(models.forest, {"n_estimators": [20], "max_depth": [5]}),
-    "Gradient Boosting": models.Candidate(models.boosting, {"n_estimators": [10], "max_depth": [3]}, early_stop=True),
-    "Gaussian NB": models.Candidate(models.naive_bayes, {}),
-}
 _trained: dict[tuple[str, str, int], tuple[training.Training, DataFrame]] = {}
 
 
 def trained(spark, sf):
-    """One training run per session and data set, shared by the model queries until its tables are released."""
+    """One full search and training run per session and data set, shared by the model queries until its tables are released."""
     key = (spark.sparkContext.applicationId, sf, releases())
     if key not in _trained:
         trades = D.sparse_trades(spark, sf)
         features = P.build_features(C.clean(trades, 1, 0.0), D.resolutions(spark, sf), sizes_from=trades)
         rows = materialise(L.composite_labels(L.temporal_split(features, trades)), "model_input")
-        _trained[key] = training.train_all(rows, _CANDIDATES, detailed_cv=False), rows
+        _trained[key] = training.train_all(rows, models.CANDIDATES, detailed_cv=True), rows
     return _trained[key]
 
 
@@ -1371,12 +1364,10 @@ def model_overfit_flags(spark, sf):
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    rows = trained(spark, sf)[1]
-    only = {"Gaussian NB": _CANDIDATES["Gaussian NB"]}
-    return training.cv_results(training.train_all(rows, only, detailed_cv=True))
+    return training.cv_results(trained(spark, sf)[0])
 
 
-for _name in ("Logistic Regression", "Random Forest"):
+for _name in models.CANDIDATES:
 
     @query("attribution_" + _name.lower().replace(" ", "_"))
     def feature_attribution(spark, sf, name=_name):

@@ -1,0 +1,26 @@
+"""The registered training queries run the library's full search."""
+
+from __future__ import annotations
+
+from augury.ml import models
+from augury.plans import catalog
+
+
+def test_registered_queries_search_all(monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.training, "train_all", lambda rows, candidates=None, **kw: seen.append((candidates, kw.get("detailed_cv", True))))
+    monkeypatch.setattr(catalog.training, "cv_results", lambda run: run)
+    for name in ("materialise", "releases"):
+        monkeypatch.setattr(catalog, name, lambda *a: 0)
+    for owner, names in ((catalog.D, ("sparse_trades", "resolutions")), (catalog.P, ("build_features",)), (catalog.C, ("clean",)), (catalog.L, ("temporal_split", "composite_labels"))):
+        for name in names:
+            monkeypatch.setattr(owner, name, lambda *a, **kw: None)
+    monkeypatch.setattr(catalog, "_trained", {})
+
+    class Session:
+        class sparkContext:
+            applicationId = "test"
+
+    catalog.cross_validation(Session, "")
+    assert seen == [(models.CANDIDATES, True)]
+    assert {f"attribution_{n.lower().replace(' ', '_')}" for n in models.CANDIDATES} <= set(catalog.QUERIES)
