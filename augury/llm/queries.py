@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from augury.llm import ann, bpe, egojoin, jaccard, langid, lm, mixing, pii, quality, suffix
-from augury.llm.common import in_fold, table
+from augury.llm import ann, bpe, collocation, egojoin, jaccard, langid, lm, mixing, packing, periodic, pii, quality, suffix
+from augury.llm.common import WORD, in_fold, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,125 @@ def op2_suffix(spark, sf):
     found = suffix.dedup(table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, p: s + p["end"] - p["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_collocation",
+    r"""
+    with pieces as (
+      select coalesce(lang, 'und') as lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents
+    ), split as (
+      select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+    ), grams as (
+      select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as phrase
+      from split, (values (1), (2), (3)) as sizes(k)
+    ), counted as (
+      select lang, k, phrase, count(*)::hugeint as f from grams group by all
+    ), totals as (
+      select lang, sum(f)::bigint as n from counted where k = 1 group by 1
+    ), cuts as (
+      select lang, phrase, k, f as a, cut, array_to_string(list_slice(string_split(phrase, ' '), 1, cut), ' ') as left_part,
+             array_to_string(list_slice(string_split(phrase, ' '), cut + 1, k), ' ') as right_part
+      from counted, (values (1), (2)) as cuts(cut) where k >= 2 and f >= 10 and cut < k
+    ), rated as (
+      select c.lang, c.phrase, c.k, c.a, c.cut, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f * y.f) as score
+      from cuts c join counted x on x.lang = c.lang and x.phrase = c.left_part join counted y on y.lang = c.lang and y.phrase = c.right_part
+    ), scored as (
+      select * from rated qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+    ), around as (
+      select lang, unnest([array_to_string(list_slice(string_split(phrase, ' '), 1, 2), ' '), array_to_string(list_slice(string_split(phrase, ' '), 2, 3), ' ')]) as phrase, f
+      from counted where k = 3 and f >= 10
+    ), held as (
+      select lang, phrase, max(f) as f from around group by all
+    ), kept as (
+      select s.* from scored s left join held h on h.lang = s.lang and h.phrase = s.phrase where h.f is null or 100 * h.f < 50 * s.a
+    ), placed as (
+      select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+    )
+    select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from placed join totals using (lang) where rank <= 2000
+    """,
+)
+def op11_collocation(spark, sf):
+    """The 2,000 best phrases of two and three words of every language."""
+    return collocation.mine(table(spark, sf, "documents"))
+
+
+def _with_repeats(docs):
+    """``doc_id`` and ``text``, in a tenth of the documents with the words from a place chosen by the id on repeated to the end."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.regexp_extract_all(text_or_empty("text"), F.lit(f"({WORD})"), F.lit(0))
+    some = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    some = some.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    some = some.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    # Whole periods, as many as cover the rest: no lambda, so that the words are taken from the text once.
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return some.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    "op12_periodic",
+    r"""
+    with hashed as (
+      select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+             xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(doc_id::varchar) + 1),
+               lambda k: list_transform(range(0, 8), lambda j: (ascii(substr(doc_id::varchar, k::int, 1)) >> j::int) & 1)))::bigint[]),
+               lambda c, b: xor(c >> 1, 3988292384::bigint * (xor(c, b) & 1))), 4294967295::bigint) as h
+      from documents
+    ), placed as (
+      select doc_id, w, h, len(w) as n, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) end as a from hashed
+    ), made as (
+      select doc_id, n, case when h % 10 = 0 and n > 0
+        then list_concat(list_slice(w, 1, a), list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1])) else w end as w
+      from placed
+    ), grams as (
+      select doc_id, i, g[i + 1] as gram
+      from (select doc_id, n, list_transform(range(0, n - 15), lambda i: array_to_string(list_slice(w, i + 1, i + 16), ' ')) as g from made) t, unnest(range(0, n - 15)) as u(i)
+      where n >= 24
+    ), pairs as (
+      select x.doc_id, x.i, y.i - x.i as q from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram and x.i < y.i
+    ), islands as (
+      select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from pairs
+    ), stretches as (
+      select doc_id, q, min(i) as s, count(*) + 15 + q as length from islands group by doc_id, q, island
+    ), runs as (
+      select * from stretches where length >= 24 and length >= 3 * q qualify q = min(q) over (partition by doc_id, s, length)
+    ), listed as (
+      select doc_id, count(*) as n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines from runs group by 1
+    ), best as (
+      select r.* from runs r anti join runs o on o.doc_id = r.doc_id
+        and (o.length * r.q > r.length * o.q or (o.length * r.q = r.length * o.q and (o.s < r.s or (o.s = r.s and o.q < r.q))))
+    ), dropped as (
+      select distinct doc_id, unnest(range(s + q, s + length)) as i from runs
+    ), words as (
+      select m.doc_id, i, m.w[i + 1] as word from made m, unnest(range(0, m.n)) as u(i)
+    ), collapsed as (
+      select doc_id, string_agg(word, ' ' order by i) as kept from words anti join dropped using (doc_id, i) group by 1
+    )
+    select m.doc_id, coalesce(n_runs, 0)::bigint as n_runs, b.s::bigint as start, b.length::bigint as length, b.q::bigint as period,
+           (1000 * b.length // b.q)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+    from made m left join listed l using (doc_id) left join best b using (doc_id) left join collapsed c using (doc_id)
+    """,
+)
+def op12_periodic(spark, sf):
+    """Runs of repeated words in every text, and what is left of it without the repeats."""
+    found = periodic.runs(_with_repeats(table(spark, sf, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(F.transform("runs", line), "\n"), F.lit("\n"))).otherwise("")
+    longer = lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b)
+    found = found.withColumn("_best", F.aggregate("runs", F.lit(None).cast(periodic.RUN), longer))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_packing")
+def op13_packing(spark, sf):
+    """The place of every piece of every document in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf, "documents"))
