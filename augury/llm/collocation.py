@@ -9,8 +9,8 @@ finds no more; each phrase is counted in one pass alone, over all documents. The
 
 A proposal is handed to the tasks as a Bloom filter of bounded size over hashes of phrases. A phrase it takes for
 proposed by mistake is counted too, no more: the filter decides what is counted, never the counts. Tasks count in numpy
-over numbered words and send each phrase once per ``PORTION`` words; sums are then taken by language and phrase, so a
-frequent phrase costs a task no more than a row.
+over numbered words and send each phrase once per ``PORTION`` words, in one Arrow batch for each bucket of phrases; other
+tasks add up whole buckets. A frequent phrase or language costs such a task no more than a row for each sender.
 
 Texts: A-Z is lower-cased; pieces end at ``[.,;:!?\\x0A-\\x0D]``, words are ``[^\\x20\\x09]+``. Cases: NULL and empty
 texts have no words; a NULL language is ``und``; repeated rows count each; ids and other columns play no part; an empty
@@ -24,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from augury.llm.common import slices, small_batches, text_or_empty
@@ -32,11 +33,12 @@ from augury.session import materialise
 LEAST = 10  # occurrences of a frequent phrase
 LONGEST = 3  # words of a phrase
 SAMPLE = 8  # one document in so many proposes
-PORTION = 3_000_000  # words that a task counts before it sends
+PORTION = 2_000_000  # words that a task counts before it sends
 LEAST_BITS, MOST_BITS = 16, 28  # size of a proposal's filter: powers of two of bits, 32 MB at most
 BREAK, EMPTY = 0, 1  # numbers that stand for the end of a piece and for no word
 LOWER = bytes(b"\n"[0] if c in b".,;:!?\n\x0b\x0c\r" else b" "[0] if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARTS = "lang string, size int, phrase string, n bigint, proposed boolean"
+ROWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("proposed", pa.bool_())])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -104,31 +106,25 @@ class Counter:
         self.total += len(words)
         self.n_words[lang] = self.n_words.get(lang, 0) + int(np.count_nonzero(ids))
 
-    def counts(self) -> Iterator[pa.RecordBatch]:
-        """Rows (lang, size, phrase, n, proposed); size 0: all words of a language."""
+    def counts(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The counts so far by bucket of the phrase's hash, in rows (bucket, blob): a blob is a batch of ``PARTS``.
+
+        Size 0 stands for all words of a language."""
         if not self.texts:
             return
-        ids = np.concatenate(self.texts)
-        texts: list[bytes] = [b""] * (EMPTY + 1)
-        langs = list(self.words)
-        size = self.next()
-        lang_of, hashes = np.zeros(size, np.int32), np.zeros(size, np.uint64)
-        texts = texts + [b""] * (size - len(texts))
+        ids, size, langs = np.concatenate(self.texts), self.next(), list(self.words)
+        lang_of, hashes, texts = np.zeros(size, np.int32), np.zeros(size, np.uint64), [b""] * size
         for k, lang in enumerate(langs):
             own = [(w, i) for w, i in self.words[lang].items() if i > EMPTY]
             at = np.fromiter((i for _, i in own), np.int64, len(own))
             lang_of[at], hashes[at] = k, word_hashes(lang, [w for w, _ in own])
             for w, i in own:
                 texts[i] = w
-        words = [t.decode() for t in texts]
-        langs_pa = pa.array(langs, pa.string())
+        words, found = pa.array(texts, pa.binary()).cast(pa.string()), []
 
-        def rows(parts: list[np.ndarray], n: np.ndarray, proposed: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(n), 100_000):
-                z = slice(a, a + 100_000)
-                phrases = [" ".join([words[i] for i in p]) for p in zip(*[x[z].tolist() for x in parts])]
-                columns = [langs_pa.take(pa.array(lang_of[parts[0][z]])), pa.array(np.full(len(phrases), len(parts), np.int32)), pa.array(phrases, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[z].astype(np.int64)), pa.array(proposed[z])], names=["lang", "size", "phrase", "n", "proposed"])
+        def add(parts: list[np.ndarray], n: np.ndarray, proposed: np.ndarray, h: np.ndarray, lang: np.ndarray | None = None) -> None:
+            phrase = pc.binary_join_element_wise(*[words.take(pa.array(p)) for p in parts], " ") if parts else pa.array([""] * len(n), pa.string())
+            found.append((lang_of[parts[0]] if parts else lang, np.full(len(n), len(parts), np.int32), phrase, n.astype(np.int64), proposed, h))
 
         sampling = self.new is None
         here = self.new.has(hashes) if not sampling else np.ones(size, bool)
@@ -138,33 +134,38 @@ class Counter:
             n = np.bincount(ids, minlength=size)
             n[: EMPTY + 1] = 0
             at = np.flatnonzero(n)
-            yield from rows([at], n[at], here[at])
-            if not sampling:
-                total = np.fromiter(self.n_words.values(), np.int64, len(self.n_words))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(self.n_words), pa.string()), pa.array(np.zeros(len(total), np.int32)), pa.array([""] * len(total)), pa.array(total), pa.array(np.ones(len(total), bool))],
-                    names=["lang", "size", "phrase", "n", "proposed"],
-                )
-        both = here[ids[:-1]] & here[ids[1:]]
-        at = np.flatnonzero(both)  # pairs all of whose words are proposed
+            add([at], n[at], here[at], hashes[at])
+            total = np.array([self.n_words[lang] for lang in langs])
+            add([], total, np.ones(len(langs), bool), word_hashes("", [lang.encode() for lang in langs]), np.arange(len(langs), dtype=np.int32))
+        at = np.flatnonzero(here[ids[:-1]] & here[ids[1:]])  # pairs both of whose words are proposed
         pair, number, n = np.unique(ids[at] * size + ids[at + 1], return_inverse=True, return_counts=True)
         left, right = pair // size, pair % size
         h = joined_hash(hashes[left], hashes[right])
         known = before[left] & before[right]  # counted in an earlier pass
         proposed = self.new.has(h) if not sampling else np.ones(len(h), bool)
         send = np.flatnonzero(~known)
-        yield from rows([left[send], right[send]], n[send], proposed[send])
-        if sampling:
-            return
-        proposed_before = self.old.has(h) & known if self.old is not None else np.zeros(len(h), bool)
-        pair_at = np.full(len(ids), -1, np.int64)
-        pair_at[at] = np.where(proposed[number], number, -1)
-        two = np.flatnonzero((pair_at[:-1] >= 0) & (pair_at[1:] >= 0))  # where two proposed pairs overlap in a word
-        if self.old is not None:
-            two = two[~(proposed_before[pair_at[two]] & proposed_before[pair_at[two + 1]])]
-        triple, n = np.unique(pair_at[two] * size + ids[np.minimum(two + 2, len(ids) - 1)], return_counts=True)
-        first, last = triple // size, triple % size
-        yield from rows([left[first], right[first], last], n, np.ones(len(n), bool))
+        add([left[send], right[send]], n[send], proposed[send], h[send])
+        if not sampling:
+            pair_at = np.full(len(ids), -1, np.int64)
+            pair_at[at] = np.where(proposed[number], number, -1)
+            two = np.flatnonzero((pair_at[:-1] >= 0) & (pair_at[1:] >= 0))  # where two proposed pairs overlap in a word
+            if self.old is not None:
+                counted_before = known & self.old.has(h)
+                two = two[~(counted_before[pair_at[two]] & counted_before[pair_at[two + 1]])]
+            triple, n = np.unique(pair_at[two] * size + ids[np.minimum(two + 2, len(ids) - 1)], return_counts=True)
+            first, last = triple // size, triple % size
+            add([left[first], right[first], last], n, np.ones(len(n), bool), joined_hash(h[first], hashes[last]))
+        lang, sizes, phrase, n, proposed, h = zip(*found)
+        bucket = (np.concatenate(h) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        by = pa.array(order)
+        columns = [pa.array(langs, pa.string()).take(pa.array(np.concatenate(lang))), pa.array(np.concatenate(sizes)), pa.concat_arrays(phrase), pa.array(np.concatenate(n)), pa.array(np.concatenate(proposed))]
+        whole = pa.RecordBatch.from_arrays([c.take(by) for c in columns], schema=ROWS)
+        numbers, starts = np.unique(bucket[order], return_index=True)
+        ends = np.r_[starts[1:], len(order)]
+        for k in range(0, len(numbers), 64):
+            blobs = [whole.slice(x, y - x).serialize().to_pybytes() for x, y in zip(starts[k : k + 64].tolist(), ends[k : k + 64].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[k : k + 64]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 class Numbers(dict):
@@ -179,20 +180,44 @@ class Numbers(dict):
         return number
 
 
-def counted(texts: DataFrame, new, old) -> DataFrame:
-    """Phrase counts by task of ``lang, __text``; ``new``, ``old``: broadcast lists of filters, None in the sample, resp. the first pass."""
+def merged(held: list[pa.RecordBatch]) -> pa.Table:
+    summed = pa.Table.from_batches(held, ROWS).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum"), ("proposed", "any")])
+    return summed.select(["lang", "size", "phrase", "n_sum", "proposed_any"]).rename_columns(ROWS.names)
 
-    def work(batches):
+
+def counted(texts: DataFrame, new, old, pieces: int, least: int) -> DataFrame:
+    """``PARTS`` of the phrases of ``lang, __text`` with ``least`` occurrences, and the words of each language (size 0).
+
+    ``new``, ``old``: broadcast lists of filters, None in the sample, resp. the first pass. Counts of a task travel as
+    batches, one for each bucket of phrases, to ``pieces`` tasks that add them up.
+    """
+    buckets = 8 * pieces
+
+    def count_words(batches):
         counter = Counter(None if new is None else Proposal(new.value), None if old is None else Proposal(old.value))
         for batch in slices(batches, "__text", 4_000_000):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("__text").to_pylist()):
                 counter.read(lang, text)
                 if counter.total > PORTION:
-                    yield from counter.counts()
+                    yield from counter.counts(buckets)
                     counter.clear()
-        yield from counter.counts()
+        yield from counter.counts(buckets)
 
-    return texts.mapInArrow(work, PARTS)
+    def add_up(batches):
+        held, rows, most = [], 0, 2_000_000
+        for batch in batches:
+            for blob in batch.column("blob"):
+                held.append(pa.ipc.read_record_batch(blob.as_buffer(), ROWS))
+                rows += held[-1].num_rows
+                if rows > most:
+                    held = merged(held).to_batches()
+                    rows = sum(b.num_rows for b in held)
+                    most = max(most, 2 * rows)
+        if held:
+            out = merged(held)
+            yield from out.filter(pc.or_(pc.greater_equal(out.column("n"), least), pc.equal(out.column("size"), 0))).to_batches(max_chunksize=10_000)
+
+    return texts.mapInArrow(count_words, "bucket int, blob binary").repartition(pieces, "bucket").mapInArrow(add_up, PARTS)
 
 
 def filter_of(spark: SparkSession, phrases: DataFrame) -> np.ndarray | None:
@@ -230,19 +255,18 @@ def frequent(df: DataFrame, lang: str = "lang", text: str = "text", least: int =
     small_batches(df)
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("__text"))
 
-    def summed(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.bool_or("proposed").alias("proposed"))
-
     # The share of a phrase's occurrences that the sample is expected to hold, lowered to one in two of them.
     lowered = max(2, least // sample // 2)
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = texts.where(F.pmod(F.xxhash64("__text"), F.lit(sample)) == 0)
-    seen = materialise(summed(counted(drawn, None, None)).where(F.col("n") >= lowered).select("lang", "phrase"), "proposed")
-    filters = [f for f in [filter_of(spark, seen)] if f is not None]
+    seen = materialise(counted(drawn, None, None, pieces, lowered), "proposed")
+    n_words = seen.where("size = 0").agg(F.sum("n")).first()[0] or 0
+    pieces = max(pieces, -(-n_words * sample // PORTION))
+    filters = [f for f in [filter_of(spark, seen.where("size > 0"))] if f is not None]
     old, passes = None, []
     while True:
         new = spark.sparkContext.broadcast(filters)
-        exact = summed(counted(texts, new, old)).where((F.col("n") >= least) | (F.col("size") == 0))
-        passes.append(materialise(exact, "phrases"))
+        passes.append(materialise(counted(texts, new, old, pieces, least), "phrases"))
         failed = filter_of(spark, passes[-1].where(~F.col("proposed") & (F.col("size") < LONGEST)))
         if failed is None:
             break

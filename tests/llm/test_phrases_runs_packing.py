@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,24 +64,21 @@ def test_phrases(spark, seed, least, sample):
     assert sorted(got) == sorted(brute_phrases(rows, least, 60, 50))
 
 
-def test_phrases_in_portions(spark, monkeypatch):
-    """A task that sends several times, and proposals that fail at every length (the sample is all but empty)."""
-    rows = phrase_rows(7, 60)
-    texts = spark.createDataFrame(rows, "__text string, lang string").na.fill({"__text": "", "lang": "und"}).coalesce(1)
-    whole = texts.groupBy("lang").count().count()
-    counter = collocation.Counter(collocation.Proposal([]), None)
-    parts = []
-    for text, lang in rows:
+def test_phrases_in_portions():
+    """A task that sends several times; with nothing proposed, words alone are counted, each once."""
+    counter, n, buckets = collocation.Counter(collocation.Proposal([]), None), Counter(), set()
+    for text, lang in phrase_rows(7, 60):
         counter.read(lang or "und", text or "")
         if counter.total > 200:
-            parts += [b.to_pydict() for b in counter.counts()]
+            parts = list(counter.counts(16))
             counter.clear()
-    parts += [b.to_pydict() for b in counter.counts()]
-    n = Counter()
-    for p in parts:
-        for size, k in zip(p["size"], p["n"]):
-            n[size] += k
-    assert set(n) == {0, 1} and n[0] == n[1] and whole  # nothing proposed: words alone, each counted once
+            for batch in parts:
+                for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+                    buckets.add(bucket)
+                    rows = pa.ipc.read_record_batch(blob.as_buffer(), collocation.ROWS).to_pydict()
+                    for size, k in zip(rows["size"], rows["n"]):
+                        n[size] += k
+    assert set(n) == {0, 1} and n[0] == n[1] > 0 and len(buckets) > 8
 
 
 def test_hashes_and_filters():
