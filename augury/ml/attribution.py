@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from augury import schemas
+from augury.ml.additive import Additive
 from augury.ml.models import assemble_features, score
 from augury.operators.joins import cross_scalar
 from augury.operators.labels import numbered
@@ -15,10 +16,14 @@ from augury.operators.metrics import rank_metrics
 from augury.session import materialise
 
 
-def linear_attribution(model: PipelineModel, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def linear_attribution(model: PipelineModel | Additive, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Mean absolute contribution coefficient x (value - mean) per feature, exact for a linear model."""
     cols = cols or schemas.FEATURES
-    linear = model.stages[-1]
+    if isinstance(model, Additive) and model.kind == "logistic":
+        raw, mean = model.values["raw"], model.values["mean"]
+        parts = [F.struct(F.lit(c).alias("feature"), F.abs((F.col(c) - mean[j]) * raw[j]).alias("part")) for j, c in enumerate(model.cols)]
+        return rows.select(F.inline(F.array(*parts))).groupBy("feature").agg(F.avg("part").alias("mean_abs_contribution"))
+    linear = None if isinstance(model, Additive) else model.stages[-1]
     if not isinstance(linear, LogisticRegressionModel):
         raise TypeError("the last stage is not a linear model; use permutation_attribution")
     scaled = model.stages[0].transform(rows).select(vector_to_array("scaled").alias("x"))
@@ -53,9 +58,9 @@ def permutation_attribution(model, rows: DataFrame, cols: list[str] | None = Non
     )
 
 
-def feature_attribution(model: PipelineModel, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def feature_attribution(model: PipelineModel | Additive, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Features with their importance, the most important first: exact for linear models, by permutation for others."""
-    if isinstance(model.stages[-1], LogisticRegressionModel):
+    if model.kind == "logistic" if isinstance(model, Additive) else isinstance(model.stages[-1], LogisticRegressionModel):
         result = linear_attribution(model, assemble_features(rows, cols), cols).withColumnRenamed(
             "mean_abs_contribution", "importance"
         )

@@ -9,13 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from augury import schemas
+from augury.ml import additive, isotonic
 from augury.operators.joins import cross_scalar
 from augury.operators.ordered import ordered
 from augury.session import materialise
@@ -62,13 +62,9 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     ).drop("_pos", "_neg")
 
 
-def fit_weighted(pipeline: Pipeline, train: DataFrame, extra: DataFrame | None = None, label: str = "label") -> PipelineModel:
-    """Fit with class weights from the rows of this fit alone; ``extra`` rows (for early stopping) weigh 1."""
-    rows = with_weights(train.drop("balanced", "pos_scaled"), label)
-    if extra is not None:
-        ones = {"balanced": F.lit(1.0), "pos_scaled": F.lit(1.0)}
-        rows = rows.unionByName(extra.drop("balanced", "pos_scaled").withColumns(ones))
-    return pipeline.fit(rows)
+def fit_weighted(pipeline: Pipeline, train: DataFrame, label: str = "label") -> PipelineModel:
+    """Fit with class weights from the rows of this fit alone."""
+    return pipeline.fit(with_weights(train.drop("balanced", "pos_scaled"), label))
 
 
 def _scaler() -> StandardScaler:
@@ -96,14 +92,9 @@ def forest(params: dict, n_rows: int) -> Pipeline:
 
 
 def boosting(params: dict, n_rows: int) -> Pipeline:
-    """Boosted trees that stop early on the rows marked ``is_val``.
-
-    Spark stops at the first round whose gain there is below ``validation_tol``; it has no count of rounds to wait. The
-    default 0 stops at the first round without any gain.
-    """
+    """Boosted trees of a fixed number of rounds; ``fit_boosted`` decides how many of them count."""
     model = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="pos_scaled", seed=SEED, validationIndicatorCol="is_val",
-        validationTol=params.get("validation_tol", 0.0),
+        featuresCol="features", labelCol="label", weightCol="pos_scaled", seed=SEED,
         maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5),
         stepSize=params.get("learning_rate", 0.1), subsamplingRate=params.get("subsample", 1.0),
         minInstancesPerNode=params.get("min_child_weight", 1),
@@ -112,6 +103,53 @@ def boosting(params: dict, n_rows: int) -> Pipeline:
     return Pipeline(stages=[model])
 
 
+# Fixed value: rounds without a gain on the validation rows after which boosting stops.
+PATIENCE = 15
+FIRST_ROUNDS = 32
+
+
+def rounds_kept(losses: list[float], limit: int, patience: int = PATIENCE) -> tuple[int, bool]:
+    """The rounds up to the best one before ``patience`` in a row bring no gain, and whether more rounds could change that."""
+    best = 0
+    for i, loss in enumerate(losses[:limit]):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, False
+    return best + 1, len(losses) < limit
+
+
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds of a fitted one."""
+    if n >= model.getNumTrees:
+        return model
+    jvm, java = SparkSession.active()._jvm, model._java_obj
+    arrays = jvm.java.util.Arrays
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), arrays.copyOf(java.trees(), n), arrays.copyOf(java.treeWeights(), n))
+    return GBTClassificationModel(cut)
+
+
+def fit_boosted(params: dict, n_rows: int, train: DataFrame, val: DataFrame | None, counts: list[int]) -> dict[int, PipelineModel]:
+    """One model for each number of rounds in ``counts``, all cut from one run.
+
+    A run's first rounds don't depend on how many follow, so the models are prefixes of the longest run. Its length
+    grows fourfold until ``PATIENCE`` rounds in a row have brought no gain on ``val``, or the largest count is reached.
+    Without validation rows every model has all its rounds.
+    """
+    most = max(counts)
+    some = val is not None and val.limit(1).count() > 0
+    rounds = min(FIRST_ROUNDS, most) if some else most
+    while True:
+        model = fit_weighted(boosting({**params, "n_estimators": rounds}, n_rows), train).stages[-1]
+        if not some:
+            return {n: PipelineModel([first_rounds(model, n)]) for n in counts}
+        losses = model.evaluateEachIteration(val)
+        kept = {n: rounds_kept(losses, n) for n in counts}
+        if not any(open_ for _, open_ in kept.values()):
+            return {n: PipelineModel([first_rounds(model, k)]) for n, (k, _) in kept.items()}
+        rounds = min(4 * rounds, most)
+
+
 def naive_bayes(params: dict, n_rows: int) -> Pipeline:
     model = NaiveBayes(featuresCol="scaled", labelCol="label", modelType="gaussian")
     return Pipeline(stages=[_scaler(), model])
@@ -119,22 +157,42 @@ def naive_bayes(params: dict, n_rows: int) -> Pipeline:
 
 @dataclass(frozen=True)
 class Candidate:
-    """A model family: how to build it, what to search, how many draws (None: the whole grid)."""
+    """A model family: how to build it, what to search, how many draws (None: the whole grid).
+
+    ``fit_many`` fits all settings and groups of rows at once, where a family can do that.
+    """
 
     build: Callable[[dict, int], Pipeline]
     space: dict
     draws: int | None = None
-    early_stop: bool = False
+    early_stop: bool = False  # boosting: rounds are cut by the validation rows
+    fit_many: Callable[[DataFrame, str, list[str], list[additive.Task]], list[additive.Additive]] | None = None
 
 
 CANDIDATES = {
-    "Logistic Regression": Candidate(logistic, LOGISTIC_GRID),
+    "Logistic Regression": Candidate(logistic, LOGISTIC_GRID, fit_many=additive.fit_logistic),
     "Random Forest": Candidate(forest, FOREST_SPACE, 30),
     "Gradient Boosting": Candidate(boosting, BOOSTING_SPACE, 30, early_stop=True),
-    "Gaussian NB": Candidate(naive_bayes, {}),
+    "Gaussian NB": Candidate(naive_bayes, {}, fit_many=additive.fit_naive_bayes),
 }
 
 
+# Settings of a fit without a search.
+DEFAULTS = {
+    "Logistic Regression": {"C": 1.0},
+    "Random Forest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "max_features": "sqrt"},
+    "Gradient Boosting": {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1},
+    "Gaussian NB": {},
+}
+
+
+def fit_one(candidate: Candidate, params: dict, n_rows: int, train: DataFrame, val: DataFrame | None) -> PipelineModel:
+    if candidate.early_stop:
+        n = params.get("n_estimators", 100)
+        return fit_boosted(params, n_rows, train, val, [n])[n]
+    return fit_weighted(candidate.build(params, n_rows), train)
+
+
 def parameter_sets(space: dict, draws: int | None = None, seed: int = SEED) -> list[dict]:
     """The whole grid, or so many distinct points of it drawn with a fixed seed."""
     grid = [dict(zip(space, point)) for point in itertools.product(*space.values())]
@@ -143,6 +201,8 @@ def parameter_sets(space: dict, draws: int | None = None, seed: int = SEED) -> l
 
 def score(model, df: DataFrame) -> DataFrame:
     """Add ``predicted_probability`` of the positive class. Only the probability is kept of the model's columns."""
+    if isinstance(model, additive.Additive):
+        return df.withColumn("predicted_probability", model.probability())
     scored = model.transform(df)
     return scored.select(*df.columns, vector_to_array("probability")[1].alias("predicted_probability"))
 
@@ -165,61 +225,84 @@ def expanding_blocks(df: DataFrame, n_splits: int = 5, order: list[str] | None =
 class CalibratedModel:
     """Averages the isotonic-calibrated probabilities of models fitted on parts of the training rows."""
 
-    members: list[tuple[PipelineModel, IsotonicRegressionModel]]
+    members: list[tuple[PipelineModel | additive.Additive, isotonic.Isotonic]]
 
     def predict(self, df: DataFrame) -> DataFrame:
         columns = df.columns
         for i, (model, calibrator) in enumerate(self.members):
             df = score(model, df).withColumnRenamed("predicted_probability", "_raw")
-            df = calibrator.transform(df).withColumnRenamed("prediction", f"_p{i}").drop("_raw")
+            df = df.withColumn(f"_p{i}", calibrator.predict(F.col("_raw"))).drop("_raw")
         mean = sum((F.col(f"_p{i}") for i in range(1, len(self.members))), F.col("_p0")) / len(self.members)
         return df.select(*columns, mean.alias("predicted_probability")).withColumn(
             "predicted_label", (F.col("predicted_probability") > 0.5).cast("int")
         )
 
     def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        kinds = ["additive" if isinstance(model, additive.Additive) else "pipeline" for model, _ in self.members]
+        spark.createDataFrame([(" ".join(kinds),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/kinds")
         for i, (model, calibrator) in enumerate(self.members):
-            model.write().overwrite().save(f"{path}/part{i}/model")
-            calibrator.write().overwrite().save(f"{path}/part{i}/calibrator")
+            if kinds[i] == "additive":
+                model.save(spark, f"{path}/part{i}/model")
+            else:
+                model.write().overwrite().save(f"{path}/part{i}/model")
+            calibrator.save(spark, f"{path}/part{i}/calibrator")
 
     @staticmethod
-    def load(path: str, parts: int = 3) -> "CalibratedModel":
-        return CalibratedModel(
-            [
-                (PipelineModel.load(f"{path}/part{i}/model"), IsotonicRegressionModel.load(f"{path}/part{i}/calibrator"))
-                for i in range(parts)
-            ]
-        )
+    def load(path: str) -> "CalibratedModel":
+        spark = SparkSession.active()
+        kinds = spark.read.text(f"{path}/kinds").first()[0].split(" ")
+        members = []
+        for i, kind in enumerate(kinds):
+            at = f"{path}/part{i}/model"
+            model = additive.Additive.load(spark, at) if kind == "additive" else PipelineModel.load(at)
+            members.append((model, isotonic.Isotonic.load(spark, f"{path}/part{i}/calibrator")))
+        return CalibratedModel(members)
+
+
+def calibration_parts(train: DataFrame, parts: int = 3, order: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Add ``part``: contiguous thirds (or so) of each class, within the groups ``by``."""
+    order, keys = order or ["first_trade_date", "address"], [*(by or []), "label"]
+    placed = ordered(train, keys, order).running("sum", F.lit(1), "_rn").df
+    sizes = train.groupBy(*keys).agg(F.count("*").alias("_n"))
+    part = F.floor((F.col("_rn") - 1) * parts / F.col("_n")).cast("int")
+    # Two classes, a few folds: the table of sizes has as many rows.
+    return placed.join(F.broadcast(sizes), keys).withColumn("part", part).drop("_rn", "_n")
 
 
 def calibrate(
-    build: Callable[[], Pipeline], train: DataFrame, extra: DataFrame | None = None, parts: int = 3,
+    fit: Callable[[DataFrame], PipelineModel], train: DataFrame, parts: int = 3,
     order: list[str] | None = None, pieces: int | None = None, score_digits: int | None = None,
 ) -> CalibratedModel:
-    """Fit on all parts but one, calibrate on the one left out, for each part in turn.
+    """``fit`` on all parts but one, calibrate on the one left out, for each part in turn.
 
-    Parts are contiguous within each class. ``extra`` holds validation rows for early stopping. ``pieces``: partitions
-    of a fit. Isotonic fitting gets one weighted row per distinct score and ends on one machine; ``score_digits``
-    bounds those rows by rounding the scores first, and is off unless asked for.
+    ``pieces``: partitions of a fit. ``score_digits`` rounds the scores before the isotonic fit, and is off unless asked
+    for.
     """
-    order = order or ["first_trade_date", "address"]
-    placed = ordered(train, ["label"], order).running("sum", F.lit(1), "_rn").df
-    sizes = train.groupBy("label").agg(F.count("*").alias("_n"))
-    part = F.floor((F.col("_rn") - 1) * parts / F.col("_n")).cast("int")
-    # Two classes: the table of sizes has two rows.
-    placed = placed.join(F.broadcast(sizes), "label").withColumn("part", part).drop("_rn", "_n")
-    placed = materialise(placed, "parts")
+    placed = materialise(calibration_parts(train, parts, order), "parts")
     placed = placed if pieces is None else placed.coalesce(pieces)
 
-    def fit_part(i: int) -> tuple[PipelineModel, IsotonicRegressionModel]:
-        fit_rows = placed.where(F.col("part") != i).drop("part")
-        model = fit_weighted(build(), fit_rows, extra)
+    def fit_part(i: int) -> tuple[PipelineModel, isotonic.Isotonic]:
+        model = fit(placed.where(F.col("part") != i).drop("part"))
         held_out = score(model, placed.where(F.col("part") == i))
         raw = F.col("predicted_probability")
-        merged = held_out.groupBy((raw if score_digits is None else F.round(raw, score_digits)).alias("_raw")).agg(
-            F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")
-        )
-        return model, IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight").fit(merged)
+        held_out = held_out.withColumn("_raw", raw if score_digits is None else F.round(raw, score_digits))
+        return model, isotonic.fit(held_out, "_raw", "label")[0]
 
     with ThreadPoolExecutor(parts) as pool:
         return CalibratedModel(list(pool.map(fit_part, range(parts))))
+
+
+def calibrate_many(candidate: Candidate, params: dict, rows: DataFrame, cols: list[str], folds: list[int], parts: int = 3) -> dict[int, CalibratedModel]:
+    """As ``calibrate``, for a family that fits many at once: one calibrated model for each value of ``fold`` in the rows."""
+    placed = calibration_parts(rows, parts, by=["fold"]).withColumn("group", F.col("fold") * parts + F.col("part"))
+    placed = materialise(placed, "parts")
+    spots = [(k, i) for k in folds for i in range(parts)]
+    models = candidate.fit_many(placed, "group", cols, [(params, [k * parts + j for j in range(parts) if j != i]) for k, i in spots])
+    scored = additive.held_out(placed, "group", {k * parts + i: [m] for (k, i), m in zip(spots, models)})
+    fitted = isotonic.fit(scored.withColumn("_raw", F.col("scores")[0]), "_raw", "label", "group")
+    by_fold: dict[int, list] = {k: [] for k in folds}
+    for (k, i), model in zip(spots, models):
+        if k * parts + i in fitted:
+            by_fold[k].append((model, fitted[k * parts + i]))
+    return {k: CalibratedModel(members) for k, members in by_fold.items() if members}

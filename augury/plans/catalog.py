@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from augury import schemas
 from augury.functions import outcomes as O, trades as X
-from augury.ml import attribution, models
+from augury.ml import additive, attribution, isotonic, models
 from augury.functions.numbers import hash_draw, round_even, safe_div
 from augury.operators import asof, clean as C, equity as Q, events as V, features as P, ingest as I, joins as J
 from augury.operators import labels as L, metrics as M, reports as R
@@ -1311,29 +1311,54 @@ def overfit_flags(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-_trained: dict[tuple[str, str, int], tuple[training.Training, DataFrame]] = {}
+_kept: dict[tuple, object] = {}
 
 
-def trained(spark, sf):
-    """One full search and training run per session and data set, shared by the model queries until its tables are released."""
-    key = (spark.sparkContext.applicationId, sf, releases())
-    if key not in _trained:
+def once(spark, sf, name: str, make):
+    """What ``make`` gives, once per session and data set until its tables are released."""
+    key = (spark.sparkContext.applicationId, sf, releases(), name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+# Families whose full search and fold metrics are a few jobs over the rows; the tree searches are run by ``train_all``.
+SUMMED = [name for name, c in models.CANDIDATES.items() if c.fit_many is not None]
+
+
+def model_rows(spark, sf):
+    def make():
         trades = D.sparse_trades(spark, sf)
         features = P.build_features(C.clean(trades, 1, 0.0), D.resolutions(spark, sf), sizes_from=trades)
-        rows = materialise(L.composite_labels(L.temporal_split(features, trades)), "model_input")
-        _trained[key] = training.train_all(rows, models.CANDIDATES, detailed_cv=True), rows
-    return _trained[key]
+        return materialise(L.composite_labels(L.temporal_split(features, trades)), "model_input")
+
+    return once(spark, sf, "rows", make)
+
+
+def prepared(spark, sf):
+    return once(spark, sf, "prepared", lambda: training.prepare(model_rows(spark, sf)))
+
+
+def trained(spark, sf, names=SUMMED):
+    """Full search and training of the named families, each run once and shared by the model queries."""
+    position = {name: k for k, name in enumerate(models.CANDIDATES)}
+    return training.together(
+        [
+            once(spark, sf, name, lambda name=name: training.train_family(prepared(spark, sf), name, models.CANDIDATES[name], position[name]))
+            for name in names
+        ]
+    )
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    return training.model_comparison(trained(spark, sf)[0]).drop("position", "train_time_sec")
+    return training.model_comparison(trained(spark, sf)).drop("position", "train_time_sec")
 
 
 @query("training_report")
 def training_report(spark, sf):
     """Parameters and metrics of every model, through the written report."""
-    run, path = trained(spark, sf)[0], scratch_path(spark, "report")
+    run, path = trained(spark, sf), scratch_path(spark, "report")
     training.write_report(run, path)
     shape = training.training_report(run)
     written = spark.read.schema(shape.schema).json(f"{path}/training_report")
@@ -1342,37 +1367,139 @@ def training_report(spark, sf):
 
 @query("best_model")
 def best_model(spark, sf):
-    return training.select_best(training.model_comparison(trained(spark, sf)[0])).select("model", "auc_roc")
+    return training.select_best(training.model_comparison(trained(spark, sf))).select("model", "auc_roc")
 
 
 @query("exported_predictions")
 def exported_predictions(spark, sf):
-    run = trained(spark, sf)[0]
+    run = trained(spark, sf)
     best = training.select_best(training.model_comparison(run)).first()["model"]
     return training.export_predictions(run, best)
 
 
+@query("saved_model_predictions")
+def saved_model_predictions(spark, sf):
+    """The exported predictions of the best model after it was saved and loaded."""
+    run, path = trained(spark, sf), scratch_path(spark, "saved")
+    training.save_best(run, path)
+    tested = training.load_best(path).predict(prepared(spark, sf).rows.where("split = 'test'"))
+    return tidy(tested.select("address", "predicted_label", "predicted_probability", schemas.LABEL))
+
+
 @query("model_mcnemar")
 def model_mcnemar(spark, sf):
-    return training.mcnemar_tests(trained(spark, sf)[0])
+    return training.mcnemar_tests(trained(spark, sf))
 
 
 @query("model_overfit_flags")
 def model_overfit_flags(spark, sf):
-    return training.overfit_flags(trained(spark, sf)[0])
+    return training.overfit_flags(trained(spark, sf))
 
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    return training.cv_results(trained(spark, sf)[0])
+    return training.cv_results(trained(spark, sf))
 
 
 for _name in models.CANDIDATES:
 
     @query("attribution_" + _name.lower().replace(" ", "_"))
     def feature_attribution(spark, sf, name=_name):
-        run, rows = trained(spark, sf)
-        return attribution.feature_attribution(run.fit_plain(name), rows.where("split = 'test'"))
+        """Of the searched model where the family is searched here; of one with default settings for trees."""
+        rows = model_rows(spark, sf).where("split = 'test'")
+        if name in SUMMED:
+            return attribution.feature_attribution(trained(spark, sf, [name]).fit_plain(name), rows)
+        ready, candidate = prepared(spark, sf), models.CANDIDATES[name]
+        return attribution.feature_attribution(models.fit_one(candidate, models.DEFAULTS[name], ready.n, ready.train, ready.val), rows)
+
+
+# Three return features and the composite label of the sparse trades, in blocks by first trade.
+_BLOCKS = f"""{_COMPOSITE},
+blocks as (
+  select address, label, total_roi, win_rate, profit_loss_ratio,
+         case when rn - 1 < n - 5 * (n // 6) then 0 else (rn - 1 - (n - 5 * (n // 6))) // (n // 6) + 1 end::int as block
+  from (select r.*, c.Trader_Success_Rate as label, row_number() over (order by first_trade_date, address) as rn, count(*) over () as n
+        from rows_ r join composite c using (address) join placed using (address) where r.split = 'train')),
+wide as (select block, label, unnest([{{'feature': 'total_roi', 'x': total_roi}}, {{'feature': 'win_rate', 'x': win_rate}}, {{'feature': 'profit_loss_ratio', 'x': profit_loss_ratio}}], recursive := true), address from blocks)"""
+_RETURN_COLUMNS = ["total_roi", "win_rate", "profit_loss_ratio"]
+
+
+def _blocks(spark, sf):
+    def make():
+        rows = L.composite_labels(_sparse_features(spark, sf)).where("split = 'train'")
+        return materialise(models.expanding_blocks(rows.withColumn("label", F.col(schemas.LABEL).cast("double"))), "blocks")
+
+    return once(spark, sf, "blocks", make)
+
+
+@query(
+    "block_moments",
+    f"""{_BLOCKS} select block, label, feature, count(*) as n, {r("avg(x)")} as mean, {r("var_pop(x)")} as variance from wide group by all""",
+)
+def block_moments(spark, sf):
+    """The sums that all fold fits of the additive models are merged from."""
+    table = additive.moments(_blocks(spark, sf), "block", _RETURN_COLUMNS)
+    names = F.array(*map(F.lit, _RETURN_COLUMNS))
+    cells = table.select(F.col("group").alias("block"), "label", "n", F.inline(F.arrays_zip(names.alias("feature"), F.col("means").alias("mean"), F.col("squares").alias("_s"))))
+    return tidy(cells.withColumn("variance", F.col("_s") / F.col("n")).drop("_s"))
+
+
+@query(
+    "nb_folds",
+    f"""{_BLOCKS},
+    folds as (select unnest(range(1, 6))::int as fold),
+    sides as (select fold, feature, label, count(*) as n, avg(x) as m, var_pop(x) as v from wide, folds where block < fold group by all),
+    added as (select fold, feature, 1e-9::double * var_pop(x) as e from wide, folds where block < fold group by all),
+    terms as (
+      select w.address, f.fold, ln(b.n::double / a.n) as prior,
+             -0.5::double * ln((b.v + e) / (a.v + e)) - (x - b.m) ** 2 / (2 * (b.v + e)) + (x - a.m) ** 2 / (2 * (a.v + e)) as term
+      from wide w join folds f on w.block = f.fold join added using (fold, feature)
+      join sides a on a.fold = f.fold and a.feature = w.feature and a.label = 0 join sides b on b.fold = f.fold and b.feature = w.feature and b.label = 1),
+    odds as (select address, fold, max(prior) + sum(term) as z from terms group by all)
+    select address, fold, round(1 / (1 + exp(-least(600, greatest(-600, z)))), 6) as predicted_probability from odds""",
+)
+def nb_folds(spark, sf):
+    """Naive Bayes of every expanding fold from merged block moments, on the rows it is tested on."""
+    blocks = _blocks(spark, sf)
+    fitted = additive.fit_naive_bayes(blocks, "block", _RETURN_COLUMNS, [({}, list(range(k))) for k in training.FOLDS])
+    scored = additive.held_out(blocks, "block", {k: [m] for k, m in zip(training.FOLDS, fitted)}, keep=("address",))
+    return scored.select("address", F.col("block").alias("fold"), F.round(F.col("scores")[0], 6).alias("predicted_probability"))
+
+
+@query(
+    "logistic_search",
+    f"""{_BLOCKS} select fold::int as fold, c::double as c, feature, count(*) as n, 0.0::double as gradient
+    from blocks, (select unnest(range(1, 6)) as fold), (values (0.001), (0.01), (0.1), (1), (10), (100)) as grid(c),
+      (values ('intercept'), ('total_roi'), ('win_rate'), ('profit_loss_ratio')) as names(feature)
+    where block < fold group by all""",
+)
+def logistic_search(spark, sf):
+    """All settings and folds of the logistic search: the gradient at each fit's coefficients, zero to six digits."""
+    blocks, points = _blocks(spark, sf), models.parameter_sets(models.LOGISTIC_GRID)
+    fitted = training.search_models(models.CANDIDATES["Logistic Regression"], points, blocks, _RETURN_COLUMNS)
+    by_fold = {tuple(range(k)): [(m, p["C"]) for m, p in zip(found, points)] for k, found in fitted.items()}
+    found = additive.gradients(blocks, by_fold, "block")
+    return found.select((F.col("groups") + 1).alias("fold"), "c", "feature", "n", (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
+
+
+_ISOTONIC = f"""with {S.SCORES}, single as (select p as x, avg(actual_label) as y, count(*) as w from scores group by 1),
+    sums as (select x, sum(y * w) over (order by x) as s, sum(w) over (order by x) as c, y * w as own, w from single),
+    spans as (select a.x as lo, b.x as hi, (b.s - a.s + a.own) / (b.c - a.c + a.w) as mean from sums a join sums b on a.x <= b.x),
+    fitted as (select x, max(low) as level from (select i.x, lo, min(mean) as low from single i join spans on lo <= i.x and hi >= i.x group by i.x, lo) group by x)
+    select {r("min(x)")} as low, {r("max(x)")} as high, {r("level")} as level, sum(w)::double as weight
+    from (select x, round(level, 10) as level from fitted) join single using (x) group by level"""
+
+
+@query("isotonic_fit", _ISOTONIC)
+def isotonic_fit(spark, sf, limit=None):
+    """The calibration curve of the score table, tied scores included."""
+    return tidy(isotonic.levels(D.scores(spark, sf), "predicted_probability", "actual_label", limit=limit).drop("group"))
+
+
+@query("isotonic_fit_cut", _ISOTONIC)
+def isotonic_fit_cut(spark, sf):
+    """The same from many short ranges."""
+    return isotonic_fit(spark, sf, limit=4)
 
 
 @query(
