@@ -123,9 +123,13 @@ def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationMode
     """The model of the first ``n`` rounds of a fitted one."""
     if n >= model.getNumTrees:
         return model
-    jvm, java = SparkSession.active()._jvm, model._java_obj
-    arrays = jvm.java.util.Arrays
-    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), arrays.copyOf(java.trees(), n), arrays.copyOf(java.treeWeights(), n))
+    context, java = SparkSession.active().sparkContext, model._java_obj
+    ml, trees, weights = context._jvm.org.apache.spark.ml, java.trees(), model.treeWeights
+    first = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+    sizes = context._gateway.new_array(context._jvm.double, n)
+    for k in range(n):
+        first[k], sizes[k] = trees[k], weights[k]
+    cut = ml.classification.GBTClassificationModel(java.uid(), first, sizes)
     return GBTClassificationModel(cut)
 
 
@@ -143,7 +147,7 @@ def fit_boosted(params: dict, n_rows: int, train: DataFrame, val: DataFrame | No
         model = fit_weighted(boosting({**params, "n_estimators": rounds}, n_rows), train).stages[-1]
         if not some:
             return {n: PipelineModel([first_rounds(model, n)]) for n in counts}
-        losses = model.evaluateEachIteration(val)
+        losses = model.evaluateEachIteration(val.withColumn("pos_scaled", F.lit(1.0)))
         kept = {n: rounds_kept(losses, n) for n in counts}
         if not any(open_ for _, open_ in kept.values()):
             return {n: PipelineModel([first_rounds(model, k)]) for n, (k, _) in kept.items()}

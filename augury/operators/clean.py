@@ -43,13 +43,15 @@ def trader_totals(trades: DataFrame) -> DataFrame:
 
 
 def active_traders(
-    trades: DataFrame, min_trades: int = 10, min_volume: float = 1000.0, top_percentile: float | None = None
+    trades: DataFrame, min_trades: int = 10, min_volume: float = 1000.0, top_percentile: float | None = None,
+    approx: bool = False,
 ) -> DataFrame:
-    """Totals of the traders with enough trades and volume; optionally only the top share of them by volume."""
+    """Totals of the traders with enough trades and volume; optionally only the top share of them by volume (``approx``:
+    the bar from a sketch)."""
     active = trader_totals(trades).where((F.col("trade_count") >= min_trades) & (F.col("total_volume") >= min_volume))
     if not top_percentile:
         return active
-    bar = percentiles(active, ["total_volume"], [1.0 - top_percentile])
+    bar = percentiles(active, ["total_volume"], [1.0 - top_percentile], approx=approx)
     bar = bar.select(F.col("total_volume")[0].alias("_bar"))
     return cross_scalar(active, bar).where(F.col("total_volume") >= F.col("_bar")).drop("_bar")
 
@@ -109,8 +111,8 @@ def side_counts(trades: DataFrame) -> DataFrame:
     return trades.groupBy("side").agg(F.count("*").alias("trades"))
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles and maximum per column; quartiles are exact."""
+def describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
+    """Count, mean, standard deviation, minimum, quartiles and maximum per column; quartiles are exact unless ``approx``."""
     stats = df.agg(
         *[
             F.struct(
@@ -120,7 +122,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
             for c in cols
         ]
     )
-    quartiles = percentiles(df, cols, [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"q_{c}") for c in cols])
+    quartiles = percentiles(df, cols, [0.25, 0.5, 0.75], approx=approx).select(*[F.col(c).alias(f"q_{c}") for c in cols])
     row = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).alias("s"), F.col(f"q_{c}").alias("q"))
     both = stats.crossJoin(quartiles).select(F.inline(F.array(*[row(c) for c in cols])))
     return both.select(

@@ -44,7 +44,9 @@ def event_prices(
     probes = probes.withColumn("at", F.col("timestamp") + _minutes(F.col("horizon")))
     # Only markets the informed traders touched need their ticks sorted.
     ticks = keep_members(trades, chosen, "market_id").select("market_id", "timestamp", "transaction_id", "price")
-    priced = asof_join(probes, ticks, out="price", default="entry_price", limit=limit)
+    # Counted per market without the semi-join: probes and all trades of a market are no fewer than what is sorted.
+    sizes = probes.select("market_id").union(trades.select("market_id"))
+    priced = asof_join(probes, ticks, out="price", default="entry_price", limit=limit, sizes_from=sizes)
     move = F.col("price") - F.col("entry_price")
     return priced.drop("at").withColumn("delta", F.when(F.col("side") == "SELL", -move).otherwise(move))
 
@@ -108,7 +110,8 @@ def copy_trades(
     bets = materialise(bets, "bets")
     probes = bets.withColumn("at", F.col("entry_time") + _minutes(F.lit(latency_minutes)))
     ticks = keep_members(trades, bets, "market_id").select("market_id", "timestamp", "transaction_id", "price")
-    filled = asof_join(probes, ticks, out="exec_price", default="expert_price", limit=limit)
+    sizes = probes.select("market_id").union(trades.select("market_id"))
+    filled = asof_join(probes, ticks, out="exec_price", default="expert_price", limit=limit, sizes_from=sizes)
     bet = expert_bet(F.col("expert_price"))
     won = bet == F.col("result")
     profit = F.when(won, (1.0 - F.col("exec_price")) * F.try_divide(F.lit(trade_size), F.col("exec_price"))).otherwise(

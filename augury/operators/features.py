@@ -7,9 +7,13 @@ written; markets, resolutions and traders are all worked out from it, so no late
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from augury import schemas
 from augury.functions.numbers import clip, safe_div
@@ -140,7 +144,6 @@ def behaviour_sums(pairs: DataFrame):
     length = F.greatest(seconds(F.col("m_end")) - seconds(F.col("m_start")), F.lit(1.0))
     entry = (F.col("mean_at") - (seconds(F.col("m_start")) - _ORIGIN)) / length
     against = F.col("n_buy") * (1.0 - F.col("m_buy")) + (F.col("n") - F.col("n_buy")) * F.col("m_buy")
-    mean_step = F.col("sum_step") / F.col("n_step")
     return [
         F.sum("n").alias("n"),
         F.count("*").alias("markets"),
@@ -151,19 +154,27 @@ def behaviour_sums(pairs: DataFrame):
         F.sum("volume").alias("volume"),
         F.sum("n_step").alias("n_step"),
         F.sum("sum_step").alias("sum_step"),
-        F.sum(F.col("n_step") * (F.col("var_step") + mean_step * mean_step)).alias("sq_step"),
         F.min("min_step").alias("min_step"),
         F.max("max_step").alias("max_step"),
         F.sum("n_infinite").alias("n_infinite"),
     ]
 
 
+def step_squares(pairs: DataFrame) -> DataFrame:
+    """``address, sq_step``: squared deviations of a trader's price steps from their mean, merged from those within the
+    markets and of the markets' means. Differences of large sums would lose the digits of nearly equal steps."""
+    some = pairs.where("n_step > 0").select("address", "n_step", "var_step", (F.col("sum_step") / F.col("n_step")).alias("_own"))
+    means = some.groupBy("address").agg((F.sum(F.col("n_step") * F.col("_own")) / F.sum("n_step")).alias("_mean"))
+    gap = F.col("_own") - F.col("_mean")
+    return some.join(means, "address").groupBy("address").agg(F.sum(F.col("n_step") * (F.col("var_step") + gap * gap)).alias("sq_step"))
+
+
 def information_ratio():
     """Mean over deviation of the steps. Undefined (NULL) with fewer than two steps or an infinite one, and 0 where
     all steps are equal."""
     n, total = F.col("n_step"), F.col("sum_step")
     mean = F.try_divide(total, n)
-    variance = F.try_divide(F.greatest(F.col("sq_step") - total * mean, F.lit(0.0)), n - 1)
+    variance = F.try_divide(F.col("sq_step"), n - 1)
     return (
         F.when(F.col("n") < 2, 0.0)
         .when((n < 2) | (F.col("n_infinite") > 0), None)
@@ -175,6 +186,7 @@ def information_ratio():
 def behaviour_features(pairs: DataFrame) -> DataFrame:
     """Entry, contrarian, information, activity and volume features, one aggregate over the pairs."""
     per_trader = _with_markets(pairs).groupBy("address").agg(*behaviour_sums(pairs))
+    per_trader = per_trader.join(step_squares(pairs), "address", "left")
     total = pairs.agg(F.sum("volume").alias("all_volume"))
     span = (seconds(F.col("last_ts")) - seconds(F.col("first_ts"))) / _DAY
     several = F.col("n") >= 2
@@ -246,6 +258,37 @@ def with_feature_block(features: DataFrame, cleaned: DataFrame, block: Callable[
     return outer_blocks([features, block(cleaned)])
 
 
+def with_trader_function(
+    features: DataFrame, cleaned: DataFrame, columns: list[str], schema: str,
+    function: Callable[[Iterator[pa.RecordBatch]], dict], order: list[str] | None = None,
+) -> DataFrame:
+    """Add columns by a function over one trader's rows that no DataFrame function can say.
+
+    ``function`` gets the trader's rows in order, batch by batch, with ``columns`` and the order columns, and returns one
+    value for each column of ``schema``. Rows are sorted by Spark and stream through: a trader of any size is never held
+    whole, by a task or by the function unless it keeps them. The function need not read all its batches.
+    """
+    order = order or ["timestamp", "transaction_id"]
+    names = list(dict.fromkeys([*columns, *order]))
+    rows = cleaned.select("address", *names).where("address is not null").repartition("address").sortWithinPartitions("address", *order)
+    out = T.StructType([rows.schema["address"], *cleaned.sparkSession.createDataFrame([], schema).schema.fields])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = batch.column(0).dictionary_encode().indices.to_numpy()
+                edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+                for a, b in zip(edges, edges[1:]):
+                    yield batch.column(0)[a].as_py(), batch.slice(a, b - a).select(names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for trader, group in groupby(pieces(batches), key=lambda piece: piece[0]):
+            row = {"address": trader, **function(batch for _, batch in group)}
+            yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(out))
+
+    return with_feature_block(features, cleaned, lambda _: rows.mapInArrow(work, out))
+
+
 def drawdown_by_time(cleaned: DataFrame, resolutions: DataFrame, limit: int | None = None) -> DataFrame:
     """The deepest fall of each trader's profit along time, across markets, over the capital invested."""
     resolved = resolutions.where(is_resolved_raw(F.col("resolution"))).select("market_id").distinct()

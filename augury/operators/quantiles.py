@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from augury.operators.ordered import group_sizes_over, null_safe_join, ordered
+from augury.operators.sketches import approximate_percentiles
 from augury.session import materialise, rows_per_task
 
 # Most rows per group for the built-in exact percentile, which keeps all values of a group in one task's memory.
@@ -25,13 +26,17 @@ def value_ranks(df: DataFrame, cols: list[str], by: list[str], limit: int | None
 
 
 def percentiles(
-    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None, limit: int | None = None
+    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None, limit: int | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles; NULLs are ignored. One row per group, one array per column.
 
-    Groups that fit a task use the built-in exact aggregate. Larger ones are ranked by distributed counts.
+    Groups that fit a task use the built-in exact aggregate. Larger ones are ranked by distributed counts. ``approx``
+    takes them from sketches instead, with a bounded error in rank.
     """
     by = list(by or [])
+    if approx:
+        return approximate_percentiles(df, cols, probs, by)
     limit = limit or rows_per_task(df.sparkSession)
     if not group_sizes_over(df, by, min(limit, IN_MEMORY_ROWS)):
         return df.groupBy(*by).agg(*[F.percentile(c, probs).alias(c) for c in cols])

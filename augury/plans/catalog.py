@@ -15,7 +15,7 @@ from augury.functions import outcomes as O, trades as X
 from augury.ml import additive, attribution, isotonic, models
 from augury.functions.numbers import hash_draw, round_even, safe_div
 from augury.operators import asof, clean as C, equity as Q, events as V, features as P, ingest as I, joins as J
-from augury.operators import labels as L, metrics as M, reports as R
+from augury.operators import labels as L, metrics as M, reports as R, sketches as K
 from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
 from augury.plans.preprocess import preprocess
@@ -402,6 +402,55 @@ def dataset_stats_approximate(spark, sf):
     return tidy(R.dataset_stats(D.trades(spark, sf), approximate=True))
 
 
+@query(
+    "stats_of_loads",
+    f"""with {S.TRADES} select count(*) as total_trades, true as markets_close, true as wallets_close, epoch_us(max(timestamp)) as latest_timestamp from trades""",
+)
+def stats_of_loads(spark, sf):
+    """Totals from the sketches of eight loads: distinct counts against the exact ones, within the stated error."""
+    trades = D.trades(spark, sf)
+    loads = None
+    for k in range(8):
+        load = K.load_sketch(trades.where(F.pmod(F.crc32("transaction_id"), F.lit(8)) == k))
+        loads = load if loads is None else loads.union(load)
+    exact = R.dataset_stats(trades).select(F.col("unique_markets").alias("m"), F.col("unique_wallets").alias("w"))
+    both = J.cross_scalar(K.sketched_stats(loads), exact)
+    close = lambda c, e: F.abs(F.col(c) - F.col(e)) <= K.count_error() * F.col(e)
+    return tidy(both.select("total_trades", close("unique_markets", "m").alias("markets_close"), close("unique_wallets", "w").alias("wallets_close"), "latest_timestamp"))
+
+
+@query(
+    "new_wallets_of_load",
+    f"""with {S.TRADES}, marked as (select *, timestamp >= timestamp '2024-01-28 00:00:00' as late from trades)
+    select count(distinct address) filter (late and address not in (select address from marked where not late)) as new_wallets,
+           count(distinct market_id) filter (late and market_id not in (select market_id from marked where not late and market_id is not null)) as new_markets
+    from marked""",
+)
+def new_wallets_of_load(spark, sf):
+    """Wallets and markets of a load that no trade before it has, by difference of sketches (exact below 16,384 values)."""
+    trades = D.trades(spark, sf)
+    late = F.col("timestamp") >= F.lit("2024-01-28 00:00:00").cast("timestamp")
+    return K.new_in_load(K.load_sketch(trades.where(~late)), K.load_sketch(trades.where(late)))
+
+
+@query(
+    "percentiles_approximate",
+    f"""with {S.TRADES} select c as name, p, true as within from (values ('amount'), ('price')) as cols(c), (values (0.01::double), (0.25), (0.5), (0.75), (0.99)) as probs(p)
+    where exists (select 1 from trades)""",
+)
+def percentiles_approximate(spark, sf):
+    """Quantiles from sketches: the share of rows below and up to each returned value spans the asked one within the error."""
+    trades, probs = materialise(D.trades(spark, sf).select("amount", "price"), "amounts"), [0.01, 0.25, 0.5, 0.75, 0.99]
+    found = percentiles(trades, ["amount", "price"], probs, approx=True).select(F.col("amount").alias("a"), F.col("price").alias("b"))
+    rows = J.cross_scalar(trades, found)
+    checks = []
+    for name, q in (("amount", "a"), ("price", "b")):
+        for i, p in enumerate(probs):
+            below, upto = F.avg((F.col(name) < F.col(q)[i]).cast("double")), F.avg((F.col(name) <= F.col(q)[i]).cast("double"))
+            checks.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), ((below <= p + K.RANK_ERROR) & (upto >= p - K.RANK_ERROR)).alias("within")))
+    return rows.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+
+
 @query(
     "trader_concentration",
     f"""with {S.TRADES}, v as (select address, market_id, sum(amount * price) as v from trades group by all)
@@ -760,6 +809,36 @@ def feature_block(spark, sf):
     return tidy(matrix.select("address", "total_roi", "largest_trade"))
 
 
+def streak_and_trend(batches) -> dict:
+    """The longest streak of purchases in a row, and the smoothed price after the last trade (each trade weighs a tenth)."""
+    longest = run = 0
+    trend = None
+    for batch in batches:
+        for buys, price in zip((side == "BUY" for side in batch.column("side").to_pylist()), batch.column("price").to_pylist()):
+            run = run + 1 if buys else 0
+            longest = max(longest, run)
+            trend = price if trend is None else 0.9 * trend + 0.1 * price
+    return {"longest_streak": longest, "price_trend": trend}
+
+
+@query(
+    "trader_function",
+    f"""{S.ALL_FEATURES}, seq as (select address, side, price, row_number() over o as rn, count(*) over (partition by address) as n,
+      row_number() over o - row_number() over (partition by address, side order by timestamp, transaction_id) as island from cleaned
+      window o as (partition by address order by timestamp, transaction_id)),
+    streaks as (select address, max(n) as longest_streak from (select address, island, count(*) as n from seq where side = 'BUY' group by all) group by 1),
+    trends as (select address, sum(price * case when rn = 1 then 0.9::double ** (n - 1) else 0.1::double * 0.9::double ** (n - rn) end) as price_trend from seq group by 1)
+    select address, {r("total_roi")} as total_roi, coalesce(longest_streak, 0) as longest_streak, {r("price_trend")} as price_trend
+    from features join trends using (address) left join streaks using (address)""",
+)
+def trader_function(spark, sf):
+    """Per-trader columns by a function over the trader's rows in order, streamed."""
+    trades = stored(spark, sf)
+    features = P.build_features(trades, D.resolutions(spark, sf))
+    matrix = P.with_trader_function(features, trades, ["side", "price"], "longest_streak bigint, price_trend double", streak_and_trend)
+    return tidy(matrix.select("address", "total_roi", "longest_streak", "price_trend"))
+
+
 # ---------------------------------------------------------------- splits and labels
 
 

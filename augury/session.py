@@ -76,13 +76,20 @@ def release(spark: SparkSession) -> int:
     global _releases
     _releases += 1
     done = _paths.pop(spark.sparkContext.applicationId, [])
-    conf = spark._jsc.hadoopConfiguration()
     for path in done:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        remove(spark, path)
     return len(done)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own, in whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    kept = _paths.get(spark.sparkContext.applicationId, [])
+    if path in kept:
+        kept.remove(path)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -15,7 +15,8 @@ from augury import schemas
 from augury.functions.numbers import round_money
 from augury.operators import ingest
 from augury.operators.reports import trade_timeline
-from augury.session import materialise
+from augury.operators.sketches import load_sketch, sketched_stats
+from augury.session import remove, scratch_path
 from augury.sources.feed import normalize_feed
 from augury.sources.tables import write_metrics_json
 
@@ -71,12 +72,15 @@ def append_batch(raw: DataFrame, batch_id: int, store: str) -> DataFrame:
     decides."""
     spark = raw.sparkSession
     seen = read_store(spark, store).where(F.col("batch") != batch_id).select("transaction_id")
-    # The position in the landed files stands for the order of arrival.
+    # Order of arrival: when a file landed, its name, the place of the split in it, and the row's place in the split.
     placed = raw.withColumn("arrival", F.struct(F.col("_file"), F.monotonically_increasing_id().alias("_row")))
     numbered = normalize_feed(placed, keep=("arrival",))
-    unique = materialise(ingest.dedup_first(numbered).drop("arrival"), "batch")
-    fresh = ingest.append_new(unique, seen)
+    scratch = scratch_path(spark, "batch")
+    kept = ingest.dedup_first(numbered).drop("arrival")
+    kept.write.parquet(scratch)
+    fresh = ingest.append_new(spark.read.schema(kept.schema).parquet(scratch), seen)
     fresh.select(*[c.name for c in _STORED.fields[:-1]]).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    remove(spark, scratch)
     return read_store(spark, store).where(F.col("batch") == batch_id)
 
 
@@ -88,6 +92,10 @@ def upsert_resolution_table(spark: SparkSession, new: DataFrame, path: str, batc
     old = read_resolution_table(spark, path, before=batch_id)
     merged = ingest.upsert_resolutions(old, new)
     merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    # A replay needs the version before this one, and none older.
+    versions = spark.read.schema("version bigint").parquet(path).select("version").distinct().collect()
+    for version in sorted(r["version"] for r in versions if r["version"] < batch_id)[:-1]:
+        remove(spark, f"{path}/version={version}")
 
 
 def read_resolution_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -114,11 +122,12 @@ def incremental_ingest(
     counts: str | None = None,
     max_files: int = 1000,
     lines: bool = False,
+    sketches: str | None = None,
 ) -> StreamingQuery:
     """Process all pages that have landed since the last run, then stop. Nothing new means nothing written.
 
     ``fetch_resolutions`` maps a table of market ids to their resolutions (market_id, resolution); they are merged
-    into ``resolutions``. ``counts`` receives one JSON object per batch.
+    into ``resolutions``. ``counts`` receives one JSON object per batch, ``sketches`` one row (see :func:`store_stats`).
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -130,10 +139,13 @@ def incremental_ingest(
                 fetch_resolutions(markets), added.withColumn("arrival", F.col("transaction_id"))
             )
             upsert_resolution_table(spark, described, resolutions, batch_id)
+        if sketches is not None:
+            load_sketch(added).write.mode("overwrite").parquet(f"{sketches}/batch={batch_id}")
         if counts is not None:
             write_metrics_json(ingest.load_counts(before, added), f"{counts}/batch={batch_id}")
 
-    raw = stream_pages(spark, pages, max_files, lines).select("*", F.col("_metadata.file_path").alias("_file"))
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    raw = stream_pages(spark, pages, max_files, lines).select("*", place.alias("_file"))
     return (
         raw.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
@@ -142,6 +154,17 @@ def incremental_ingest(
     )
 
 
+def read_sketches(spark: SparkSession, sketches: str) -> DataFrame:
+    """The sketches of all loads, one row each, with the number of the batch."""
+    kind = "total_trades bigint, latest_timestamp timestamp, wallets binary, markets binary, batch bigint"
+    return spark.read.schema(kind).parquet(sketches)
+
+
+def store_stats(spark: SparkSession, sketches: str) -> DataFrame:
+    """Totals of the store with estimated distinct counts, from one row per load: no stored trade is read."""
+    return sketched_stats(read_sketches(spark, sketches))
+
+
 def refresh_timeline(spark: SparkSession, store: str, target: str, interval: str = "month") -> None:
     """Rewrite the timeline report from the store; the way to months, and to exact wallet counts."""
     trade_timeline(read_store(spark, store), interval).write.mode("overwrite").parquet(target)
