@@ -212,9 +212,11 @@ def raw_features(pairs: DataFrame, resolutions: DataFrame, limit: int | None = N
     return joined.select("address", *zero, *schemas.FEATURES[4:])
 
 
-def quantile_clip(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99, limit: int | None = None) -> DataFrame:
+def quantile_clip(
+    df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99, limit: int | None = None, approx: bool = False
+) -> DataFrame:
     """Bound each column by two of its own quantiles."""
-    bounds = percentiles(df, cols, [lo, hi], limit=limit).select(*[F.col(c).alias(f"_q_{c}") for c in cols])
+    bounds = percentiles(df, cols, [lo, hi], limit=limit, approx=approx).select(*[F.col(c).alias(f"_q_{c}") for c in cols])
     bounded = {c: clip(F.col(c), F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]) for c in cols}
     return cross_scalar(df, bounds).withColumns(bounded).select(*df.columns)
 

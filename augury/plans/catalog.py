@@ -1643,6 +1643,31 @@ def stream_ingest_batches(spark, sf):
     return tidy(W.read_store(spark, f"{root}/store").drop("title", "slug", "event_slug", "batch"))
 
 
+def _by_state(spark, sf) -> tuple[str, str]:
+    """Store and checkpoint after two runs over pages that landed one after the other, with repeats within and across them."""
+    root = scratch_path(spark, "stream")
+    feed, total = D.feed_text(spark, sf), D.table(spark, sf, "events").count()
+    for k in range(4):
+        part = feed.where(F.floor(F.col("arrival") * 4 / (total + 1)) == k).coalesce(1).sortWithinPartitions("arrival")
+        part.select("body").write.mode("append").text(f"{root}/pages", lineSep="\n")
+        if k in (1, 3):  # the second run starts from the first one's checkpoint
+            W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=1, lines=True, by_state=True).awaitTermination()
+    return f"{root}/store", f"{root}/check"
+
+
+@query("stream_first_arrivals", ORACLES["stream_ingest_batches"])
+def stream_first_arrivals(spark, sf):
+    """All columns of the first arrivals, found by state on disk over several batches and a restart."""
+    return tidy(W.read_store(spark, _by_state(spark, sf)[0]).drop("title", "slug", "event_slug", "batch"))
+
+
+@query("stream_state_rows", f"with {S.FEED} select count(distinct transaction_id) as hashes, count(distinct transaction_id) as state_rows from feed")
+def stream_state_rows(spark, sf):
+    """The state read back: one row for each hash that has come, however often."""
+    state = W.stored_state(spark, _by_state(spark, sf)[1])
+    return state.agg(F.countDistinct("transaction_id").alias("hashes"), F.count("*").alias("state_rows"))
+
+
 @query(
     "stream_dedup",
     f"with {S.FEED} select distinct transaction_id from feed where timestamp_us is not null",
@@ -1657,10 +1682,10 @@ def stream_dedup(spark, sf):
 @query(
     "stream_timeline",
     f"""with {S.FEED}, closed as (select (max(timestamp_us) - 3600000000) // 3600000000 as h from feed)
-    select timestamp_us // 3600000000 * 3600000000 as bucket, count(*) as trade_count, {money('sum(amount * price)')} as volume
+    select timestamp_us // 3600000000 * 3600000000 as bucket, count(*) as trade_count, {money('sum(amount * price)')} as volume, count(distinct address) as unique_wallets
     from feed, closed where timestamp_us is not null and timestamp_us // 3600000000 < h group by 1""",
 )
 def stream_timeline(spark, sf):
     pages, root = _landed(spark, sf)
     rows = W.stream_timeline(W.stream_trades(spark, pages, lines=True), "hour", delay="1 hour")
-    return tidy(_drained(rows, root).drop("unique_wallets"))
+    return tidy(_drained(rows, root))

@@ -6,8 +6,9 @@ its own partition, so its rows never count twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,15 +46,58 @@ def stream_dedup(trades: DataFrame, delay: str = "1 day") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["transaction_id"])
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of streams started from now on lives in RocksDB on the executors' disks, with changes logged to the checkpoint."""
+    state = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{state}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{state}.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def stream_first(raw: DataFrame) -> DataFrame:
+    """The first arrival of each hash, from landed objects with their place ``_file``; for output mode ``update``.
+
+    Every hash ever seen has a row of state, so a repeat of any age is found, and a late trade accepted, by looking up the
+    hashes of the batch alone: the work of a batch doesn't grow with the store. All rows of one batch carry the batch's
+    time, which a replay repeats: a hash whose earliest and latest times are equal has come for the first time.
+    """
+    schema = T.StructType([*raw.schema.fields, T.StructField("_row", T.LongType())])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stream has no row numbers of its own: rows are counted as a task reads them."""
+        done = 0
+        for batch in batches:
+            rows = pa.array(range(done, done + batch.num_rows), pa.int64())
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "_row"])
+
+    placed = raw.mapInArrow(numbered, schema).withColumn("arrival", F.struct("_file", "_row"))
+    trades = normalize_feed(placed, keep=("arrival",)).withColumn("_seen", F.current_timestamp())
+    columns = [c for c in trades.columns if c not in ("transaction_id", "arrival", "_seen")]
+    kept = trades.groupBy("transaction_id").agg(
+        F.min_by(F.struct(*columns), "arrival").alias("_row"), F.min("_seen").alias("_first"), F.max("_seen").alias("_last")
+    )
+    return kept.where(F.col("_first") == F.col("_last")).select("transaction_id", "_row.*")
+
+
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The hashes that a stream with the checkpoint has in its state."""
+    return spark.read.format("statestore").load(checkpoint).select(F.col("key.transaction_id").alias("transaction_id"))
+
+
 def stream_timeline(trades: DataFrame, interval: str = "hour", delay: str = "1 day") -> DataFrame:
-    """Trades, volume and (approximate) wallets per hour or day; a period is emitted once it can no longer change."""
+    """Trades, volume and wallets per hour or day; a period is emitted once it can no longer change.
+
+    Two stateful steps: a row for each period and wallet, then the period. So wallets are counted exactly, and a period's
+    wallets are spread over the tasks. Rows later than ``delay``, and rows without a time, are dropped.
+    """
     if interval not in ("hour", "day"):
         raise ValueError("a stream groups by hour or day; months have no fixed length, use refresh_timeline")
     timed = trades.where(F.col("timestamp").isNotNull()).withWatermark("timestamp", delay)
-    return timed.groupBy(F.window("timestamp", f"1 {interval}")).agg(
-        F.count("*").alias("trade_count"),
-        round_money(F.sum(F.col("amount") * F.col("price"))).alias("volume"),
-        F.approx_count_distinct("address").alias("unique_wallets"),
+    each = timed.groupBy(F.window("timestamp", f"1 {interval}").alias("period"), "address").agg(
+        F.count("*").alias("n"), F.sum(F.col("amount") * F.col("price")).alias("v")
+    )
+    return each.groupBy(F.window("period", f"1 {interval}")).agg(
+        F.sum("n").alias("trade_count"), round_money(F.sum("v")).alias("volume"), F.count("address").alias("unique_wallets")
     ).select(F.col("window.start").alias("bucket"), "trade_count", "volume", "unique_wallets")
 
 
@@ -123,16 +167,25 @@ def incremental_ingest(
     max_files: int = 1000,
     lines: bool = False,
     sketches: str | None = None,
+    by_state: bool = False,
 ) -> StreamingQuery:
     """Process all pages that have landed since the last run, then stop. Nothing new means nothing written.
 
+    ``by_state`` finds repeats by the stream's own state on disk (see :func:`stream_first`) instead of the store's hashes;
+    a store is then written by one checkpoint from its start.
+
     ``fetch_resolutions`` maps a table of market ids to their resolutions (market_id, resolution); they are merged
     into ``resolutions``. ``counts`` receives one JSON object per batch, ``sketches`` one row (see :func:`store_stats`).
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         before = read_store(spark, store).where(F.col("batch") != batch_id)
-        added = append_batch(batch, batch_id, store)
+        if by_state:
+            columns = [c.name for c in _STORED.fields[:-1]]
+            batch.select(*columns).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+            added = read_store(spark, store).where(F.col("batch") == batch_id)
+        else:
+            added = append_batch(batch, batch_id, store)
         if fetch_resolutions is not None and resolutions is not None:
             markets = added.where("market_id <> ''").select("market_id").distinct()
             described = ingest.describe_markets(
@@ -146,8 +199,10 @@ def incremental_ingest(
 
     place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
     raw = stream_pages(spark, pages, max_files, lines).select("*", place.alias("_file"))
+    if by_state:
+        keep_state_on_disk(spark)
     return (
-        raw.writeStream.foreachBatch(on_batch)
+        (stream_first(raw).writeStream.outputMode("update") if by_state else raw.writeStream).foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
