@@ -85,3 +85,14 @@ def test_neighbours_of_few_vectors(spark):
     got = [tuple(r) for r in ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
+
+
+def test_other_columns_play_no_part(spark):
+    """Columns named like those the operators add change nothing."""
+    rows = clustered(120)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    clash = {c: F.lit("clash") for c in ("id", "vector", "n_links", "component_id", "query_id", "rank", "score", "block", "x", "codes", "q", "deal", "asked", "floor")}
+    wide = plain.withColumns(clash)
+    key = lambda r: str(tuple(r))
+    for run in (lambda df: egojoin.links(df), lambda df: ann.search(df, F.col("vec_id") % 20 == 0)):
+        assert sorted(run(wide).collect(), key=key) == sorted(run(plain).collect(), key=key)
