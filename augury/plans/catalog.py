@@ -397,15 +397,20 @@ def dataset_stats(spark, sf):
     return tidy(R.dataset_stats(D.trades(spark, sf)))
 
 
-@query("dataset_stats_approximate")
+_CLOSE_STATS = f"""with {S.TRADES} select count(*) as total_trades, true as markets_close, true as wallets_close, epoch_us(max(timestamp)) as latest_timestamp from trades"""
+
+
+@query("dataset_stats_approximate", _CLOSE_STATS)
 def dataset_stats_approximate(spark, sf):
-    return tidy(R.dataset_stats(D.trades(spark, sf), approximate=True))
+    """Totals with approximate distinct counts, held against the exact ones: within three deviations of 5%."""
+    trades = D.trades(spark, sf)
+    exact = R.dataset_stats(trades).select(F.col("unique_markets").alias("m"), F.col("unique_wallets").alias("w"))
+    both = J.cross_scalar(R.dataset_stats(trades, approximate=True), exact)
+    close = lambda c, e: F.abs(F.col(c) - F.col(e)) <= 0.15 * F.col(e)
+    return tidy(both.select("total_trades", close("unique_markets", "m").alias("markets_close"), close("unique_wallets", "w").alias("wallets_close"), "latest_timestamp"))
 
 
-@query(
-    "stats_of_loads",
-    f"""with {S.TRADES} select count(*) as total_trades, true as markets_close, true as wallets_close, epoch_us(max(timestamp)) as latest_timestamp from trades""",
-)
+@query("stats_of_loads", _CLOSE_STATS)
 def stats_of_loads(spark, sf):
     """Totals from the sketches of eight loads: distinct counts against the exact ones, within the stated error."""
     trades = D.trades(spark, sf)
@@ -1021,6 +1026,16 @@ def model_input_composite(spark, sf):
     )
 
 
+@query("model_input_automatic", ORACLES["model_input_composite"])
+def model_input_automatic(spark, sf):
+    """Automatic labels where no market is resolved: none come from resolutions, so the rank-based ones are taken."""
+    trades, resolutions = stored(spark, sf), D.resolutions(spark, sf)
+    split = L.temporal_split(P.build_features(trades, resolutions), trades)
+    exact = split.withColumns({c: F.round(c, 10) for c in L.RANKED})
+    labeled = L.label_traders(exact, trades, resolutions.withColumn("resolution", F.lit("__OPEN__")), mode="auto")
+    return tidy(labeled.where("label_source = 'composite_rank'").select("address", "split", schemas.LABEL, "composite_score"))
+
+
 @query(
     "rar_labels",
     f"""{S.ALL_FEATURES}, {_SPLIT.format(t="cleaned")}
