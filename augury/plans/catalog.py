@@ -7,6 +7,7 @@ times as epoch microseconds, so that both engines return the same types.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -1433,15 +1434,19 @@ def prepared(spark, sf):
     return once(spark, sf, "prepared", lambda: training.prepare(model_rows(spark, sf)))
 
 
-def trained(spark, sf, names=SUMMED):
-    """Full search and training of the named families, each run once and shared by the model queries."""
+def trained(spark, sf, names=SUMMED, folds=False):
+    """Full search and training of the named families, with fold metrics if asked for; each is run once and shared."""
     position = {name: k for k, name in enumerate(models.CANDIDATES)}
-    return training.together(
-        [
-            once(spark, sf, name, lambda name=name: training.train_family(prepared(spark, sf), name, models.CANDIDATES[name], position[name]))
-            for name in names
-        ]
-    )
+
+    def family(name):
+        candidate, ready = models.CANDIDATES[name], prepared(spark, sf)
+        run = once(spark, sf, name, lambda: training.train_family(ready, name, candidate, position[name], detailed_cv=False))
+        if folds:
+            cv = once(spark, sf, f"folds of {name}", lambda: training.fold_metrics(ready, name, candidate, run.parameters[name]))
+            return replace(run, cv=cv)
+        return run
+
+    return training.together([family(name) for name in names])
 
 
 @query("model_comparison")
@@ -1452,7 +1457,7 @@ def model_comparison(spark, sf):
 @query("training_report")
 def training_report(spark, sf):
     """Parameters and metrics of every model, through the written report."""
-    run, path = trained(spark, sf), scratch_path(spark, "report")
+    run, path = trained(spark, sf, folds=True), scratch_path(spark, "report")
     training.write_report(run, path)
     shape = training.training_report(run)
     written = spark.read.schema(shape.schema).json(f"{path}/training_report")
@@ -1492,7 +1497,7 @@ def model_overfit_flags(spark, sf):
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    return training.cv_results(trained(spark, sf))
+    return training.cv_results(trained(spark, sf, folds=True))
 
 
 for _name in models.CANDIDATES:

@@ -173,6 +173,12 @@ def prepare(model_input: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION
     return Prepared(rows, train, val if val.limit(1).count() > 0 else None, blocks, n, pieces)
 
 
+def fold_metrics(prepared: Prepared, name: str, candidate: M.Candidate, params: dict) -> DataFrame:
+    """``model``, fold and its test metrics, for chosen parameters."""
+    val = prepared.val if candidate.early_stop else None
+    return calibrated_cv(candidate, params, prepared.blocks, val, prepared.n).select(F.lit(name).alias("model"), "*")
+
+
 def train_family(
     prepared: Prepared, name: str, candidate: M.Candidate, position: int = 0, parallelism: int = 8, detailed_cv: bool = True
 ) -> Training:
@@ -193,7 +199,7 @@ def train_family(
         F.lit(name).alias("model"), "address", "split", "actual_label", "predicted_label", "predicted_probability"
     )
     predictions = materialise(scored, "predictions")
-    cv = calibrated_cv(candidate, params, blocks, extra, n).select(F.lit(name).alias("model"), "*") if detailed_cv else None
+    cv = fold_metrics(prepared, name, candidate, params) if detailed_cv else None
     info = train.sparkSession.createDataFrame(
         [(name, position, float(cv_auc), float(elapsed))], "model string, position int, cv_auc double, train_time_sec double"
     )
