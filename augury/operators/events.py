@@ -29,10 +29,18 @@ def _minutes(n: Column) -> Column:
     return F.make_dt_interval(mins=n.cast("int"))
 
 
+def _dealt(probes: DataFrame, buckets: int | None) -> DataFrame:
+    """Probes in the buckets of a table of trades that lies by market."""
+    return probes if buckets is None else probes.repartition(buckets, "market_id")
+
+
 def event_prices(
-    trades: DataFrame, informed: DataFrame, windows: list[int] | None = None, limit: int | None = None
+    trades: DataFrame, informed: DataFrame, windows: list[int] | None = None, limit: int | None = None, buckets: int | None = None
 ) -> DataFrame:
-    """Long form: one row per informed trade and horizon with the price then and the move in the trade's favour."""
+    """Long form: one row per informed trade and horizon with the price then and the move in the trade's favour.
+
+    ``buckets``: of a table of trades written by ``write_by_market``; its trades then stay where they are.
+    """
     windows = windows or WINDOWS
     chosen = keep_members(trades, informed, "address").select(
         "transaction_id", "address", "market_id", "timestamp",
@@ -41,7 +49,7 @@ def event_prices(
     # Written once: the chosen trades are the probes, name the markets to read, and are counted per market.
     chosen = materialise(chosen, "chosen")
     probes = chosen.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("horizon"))
-    probes = probes.withColumn("at", F.col("timestamp") + _minutes(F.col("horizon")))
+    probes = _dealt(probes.withColumn("at", F.col("timestamp") + _minutes(F.col("horizon"))), buckets)
     # Only markets the informed traders touched need their ticks sorted.
     ticks = keep_members(trades, chosen, "market_id").select("market_id", "timestamp", "transaction_id", "price")
     # Counted per market without the semi-join: probes and all trades of a market are no fewer than what is sorted.
@@ -52,11 +60,11 @@ def event_prices(
 
 
 def event_study(
-    trades: DataFrame, informed: DataFrame, windows: list[int] | None = None, limit: int | None = None
+    trades: DataFrame, informed: DataFrame, windows: list[int] | None = None, limit: int | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Wide form: one row per informed trade, ``delta_{w}m`` and ``price_{w}m`` per horizon."""
     windows = windows or WINDOWS
-    long = event_prices(trades, informed, windows, limit)
+    long = event_prices(trades, informed, windows, limit, buckets)
     # The group starts with the market, by which the rows already are partitioned: no further shuffle.
     keys = ["market_id", "transaction_id", "address", "timestamp", "side", "entry_price", "volume"]
     at = lambda c, w: F.max(F.when(F.col("horizon") == w, F.col(c))).alias(f"{c}_{w}m")
@@ -96,9 +104,12 @@ def copy_trades(
     trade_size: float = 100.0,
     fee: float = 0.001,
     limit: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Copies of informed purchases in resolved markets, filled at the price known after the delay.
 
+    ``buckets``: as for ``event_prices``.
+
     A fill at price 0 on a winning bet has no defined profit: it is NULL and ``undefined_profit`` is set.
     """
     results = resolutions.select("market_id", normalise_resolution_strict(F.col("resolution")).alias("result"))
@@ -108,7 +119,7 @@ def copy_trades(
         F.col("timestamp").alias("entry_time"), F.col("price").alias("expert_price"), "result",
     )
     bets = materialise(bets, "bets")
-    probes = bets.withColumn("at", F.col("entry_time") + _minutes(F.lit(latency_minutes)))
+    probes = _dealt(bets.withColumn("at", F.col("entry_time") + _minutes(F.lit(latency_minutes))), buckets)
     ticks = keep_members(trades, bets, "market_id").select("market_id", "timestamp", "transaction_id", "price")
     sizes = probes.select("market_id").union(trades.select("market_id"))
     filled = asof_join(probes, ticks, out="exec_price", default="expert_price", limit=limit, sizes_from=sizes)

@@ -21,7 +21,7 @@ from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
 from augury.plans.preprocess import preprocess
 from augury.plans.sql import money, r
-from augury.session import materialise, releases, scratch_path
+from augury.session import materialise, releases, scratch_path, scratch_table
 from augury.sources import feed as A, sample_tables as D, tables as B
 from augury.streaming import feed as W
 
@@ -62,6 +62,15 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(cleaned(spark, sf), "cleaned")
 
 
+BUCKETS = 16
+
+
+def by_market(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned trades in buckets by market."""
+    name, path = scratch_table(spark, "by_market")
+    return B.write_by_market(cleaned(spark, sf), name, path, BUCKETS)
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -719,6 +728,18 @@ def asof_prices_cut(spark, sf):
     return asof_prices(spark, sf, limit=20)
 
 
+@query("asof_prices_by_market", ORACLES["asof_prices"])
+def asof_prices_by_market(spark, sf):
+    """The same over trades in buckets by market: probes and ticks are read where they lie, nothing is moved."""
+    trades = by_market(spark, sf)
+    probes = trades.select(
+        "transaction_id", "market_id", F.col("price").alias("entry_price"),
+        (F.col("timestamp") - F.expr("interval 1 hour")).alias("at"),
+    )
+    ticks = trades.select("market_id", "timestamp", "transaction_id", "price")
+    return asof.asof_join(probes, ticks, default="entry_price").select("transaction_id", "asof_price")
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -1110,6 +1131,13 @@ def event_study(spark, sf):
     return tidy(V.event_study(trades, informed(trades, spark, sf)))
 
 
+@query("event_study_by_market", ORACLES["event_study"])
+def event_study_by_market(spark, sf):
+    """The same over trades in buckets by market: only the informed trades are moved."""
+    trades = by_market(spark, sf)
+    return tidy(V.event_study(trades, informed(trades, spark, sf), buckets=BUCKETS))
+
+
 _STUDY_ROWS = " union all ".join(
     f"select {w} as horizon, delta_{w}m as delta, volume from study" for w in V.LONG_WINDOWS
 )
@@ -1159,6 +1187,14 @@ for _order, _keys in {"time": S.TIME_ORDER, "market": S.MARKET_ORDER}.items():
         return tidy(Q.equity_curve(copies(spark, sf), order=order), 6)
 
 
+@query("copy_trades_by_market", ORACLES["copy_trades_time"])
+def copy_trades_by_market(spark, sf):
+    """The same over trades in buckets by market: only the copied trades are moved."""
+    trades = by_market(spark, sf)
+    made = V.copy_trades(trades, informed(trades, spark, sf), D.resolutions(spark, sf), buckets=BUCKETS)
+    return tidy(Q.equity_curve(materialise(made, "copies")), 6)
+
+
 @query(
     "copy_metrics",
     f"""{S.ALL_COPIES}, {S.curve(S.MARKET_ORDER)}

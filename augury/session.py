@@ -53,6 +53,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _paths: dict[str, list[str]] = {}  # scratch paths handed out, per application
+_tables: dict[str, list[str]] = {}  # names of catalog tables over them
 _releases = 0
 
 
@@ -68,6 +69,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A new catalog name and the path in the shared folder for its files; ``release`` drops both."""
+    table = f"augury_{name}_{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table, scratch_path(spark, name)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables this application wrote so far; returns how many paths there were.
 
@@ -76,6 +84,8 @@ def release(spark: SparkSession) -> int:
     global _releases
     _releases += 1
     done = _paths.pop(spark.sparkContext.applicationId, [])
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists `{name}`")
     for path in done:
         remove(spark, path)
     return len(done)
