@@ -2,11 +2,15 @@
 
 The patterns find e-mail addresses, IP addresses, payment cards and phone numbers. The field then labels every token
 that has a digit or an at sign: neighbours in the text are linked, and so is each token with the next one in the document
-that is equal or has the same digits, however far away. Loopy message passing brings the labels of linked tokens
-together, so that one clear mention settles the unclear ones. Tokens within pattern matches keep the label
-found there; other tokens become spans if one kind has nearly all of the probability.
+that is equal or ends with the same seven digits, and with the first such one under a pattern match, however far away.
+Loopy message passing brings the labels of linked tokens together, so that one clear mention settles the unclear ones. It
+ends when no message changes any more; its bound grows with the number of mentions of one value. Tokens within pattern
+matches keep the label found there; other tokens become spans if one kind has nearly all of the probability.
 
-Weights are fitted by pseudo-likelihood to the pattern matches in a bounded sample of documents.
+Weights are fitted by pseudo-likelihood to the pattern matches in a bounded sample of documents. A number that no pattern
+matches counts as none there, so the links could not be learnt from it: half of the matches are repeated further on
+in a form that no pattern knows (bare digits, or without the plus sign), with the label of the clear mention, and as many
+unmatched numbers with none. Only the link tells the two apart.
 
 Cases: a NULL or empty text has no spans; without any sample the features weigh nothing and nothing is added; rows are
 independent, so repeated rows get equal results, and ids and other columns play no part.
@@ -32,6 +36,8 @@ CELLS = 4096  # of hashed features
 FEATURES = 8  # of each token
 SURE = 0.9
 ALIKE = 2.0  # prior mean of the log potential for equal labels on alike tokens; data move it where they have such tokens
+ENDING = 7  # digits at the end that make two numbers alike
+TOLERANCE = 1e-4  # largest change of a message at which message passing ends
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,28 +143,53 @@ class Graph:
     skip: np.ndarray  # pairs of distant tokens that are alike
 
 
+def covered(g: Graph, n_texts: int, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """1 + kind of the first span over each token, 0 where there is none."""
+    fixed = np.zeros(len(g.text), np.int64)
+    at = np.searchsorted(g.text, np.arange(n_texts + 1))
+    for k, found in enumerate(spans):
+        a, b = at[k], at[k + 1]
+        for kind, s, e in found:
+            i, j = a + np.searchsorted(g.end[a:b], s, side="right"), a + np.searchsorted(g.start[a:b], e, side="left")
+            fixed[i:j] = np.where(fixed[i:j] == 0, kind + 1, fixed[i:j])
+    return fixed
+
+
 def graph_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
     text, start, end, number = tokens_of(texts)
     words = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), end.tolist())]
     near = np.r_[False, (np.diff(number) == 1) & (np.diff(text) == 0)] if len(text) else np.zeros(0, bool)
     cells = np.array(features(words, near.tolist()), np.int64).reshape(len(words), FEATURES)
-    fixed = np.zeros(len(words), np.int64)
-    at = np.searchsorted(text, np.arange(len(texts) + 1))
-    for k, found in enumerate(spans):
-        a, b = at[k], at[k + 1]
-        for kind, s, e in found:
-            i, j = a + np.searchsorted(end[a:b], s, side="right"), a + np.searchsorted(start[a:b], e, side="left")
-            fixed[i:j] = np.where(fixed[i:j] == 0, kind + 1, fixed[i:j])
+    bare = Graph(text, start, end, cells, np.zeros(len(words), np.int64), np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64))
+    fixed, at = covered(bare, len(texts), spans), np.searchsorted(text, np.arange(len(texts) + 1))
     chain = np.flatnonzero(near)
+    value = [value_of(w) for w in words]
+    for k, found in enumerate(spans):  # the last token of a match stands for the whole number
+        for _, s, e in found:
+            i = at[k] + np.searchsorted(start[at[k] : at[k + 1]], e, side="left") - 1
+            value[i] = value_of(texts[k][s:e])
+    keys = list(zip(text.tolist(), value))
+    clear: dict[tuple[int, str], int] = {}
+    for k in np.flatnonzero(fixed).tolist():
+        clear.setdefault(keys[k], k)
     last: dict[tuple[int, str], int] = {}
-    skip = []
-    for k, (t, w) in enumerate(zip(text.tolist(), words)):
-        digits = _NOT_DIGIT.sub("", w)
-        same = (t, digits if len(digits) >= 4 and "@" not in w else w.strip("()[]<>,;:!?.\"'*#$%&").lower())
-        if (j := last.get(same, -1)) >= 0 and not (j == k - 1 and near[k]):
-            skip.append((j, k))
-        last[same] = k
-    return Graph(text, start, end, cells, fixed, np.column_stack([chain - 1, chain]), np.array(skip, np.int64).reshape(-1, 2))
+    skip = set()
+    for k, key in enumerate(keys):
+        if key[1]:
+            for j in (last.get(key, k), clear.get(key, k)):
+                if j != k and not (abs(j - k) == 1 and near[max(j, k)]):
+                    skip.add((min(j, k), max(j, k)))
+            last[key] = k
+    return Graph(text, start, end, cells, fixed, np.column_stack([chain - 1, chain]), np.array(sorted(skip), np.int64).reshape(-1, 2))
+
+
+def value_of(token: str) -> str:
+    """What two mentions of one value have in common: the last digits of a long number, else the word itself. A short
+    number without any other character says too little: empty."""
+    if "@" not in token and len(digits := _NOT_DIGIT.sub("", token)) >= ENDING:
+        return digits[-ENDING:]
+    word = token.strip("[]<>,;:!?.\"'*#$%&").lower()
+    return "" if word.isdigit() else word
 
 
 @dataclass
@@ -170,15 +201,43 @@ class Field:
     skip: np.ndarray
 
 
-def fit(texts: list[str], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Pseudo-likelihood of the pattern labels: every token given its features and its neighbours' labels."""
+def repeated(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with every other value mentioned again at its end, in a form that no pattern matches, and the spans of those
+    that are personal data. Equal texts are treated alike."""
+    parts, size, hidden = [text], len(text), []
+
+    def mention(form: str, kind: int | None) -> None:
+        nonlocal size
+        if kind is not None:
+            hidden.append((kind, size + 4, size + 4 + len(form)))
+        parts.append(f" or {form} and")
+        size += len(form) + 8
+
+    for kind, start, end in spans:
+        whole = text[start:end]
+        turn = zlib.crc32(whole.encode("utf-8", "surrogatepass")) % 4
+        form = _NOT_DIGIT.sub("", whole) if turn == 0 else whole.lstrip("+")
+        if turn < 2 and "@" not in whole and form and not base_spans(f" or {form} and"):
+            mention(form, kind)
+    for token in text.split():
+        digits = _NOT_DIGIT.sub("", token) if len(token) < 40 else ""
+        if len(digits) >= ENDING and "@" not in token and zlib.crc32(digits.encode()) % 2 and not base_spans(token) and not any(digits in _NOT_DIGIT.sub("", text[a:b]) for _, a, b in spans):
+            mention(digits, None)
+    return "".join(parts), hidden
+
+
+def fit(texts: list[str], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3, link_decay: float = 1e-5) -> Field:
+    """Pseudo-likelihood of the labels: every token given its features and its neighbours' labels."""
     k = len(KINDS) + 1
     field = Field(np.zeros((CELLS, k)), np.zeros((k, k)), ALIKE * np.eye(k))
-    g = graph_of(texts, [base_spans(t) for t in texts])
+    spans = [base_spans(t) for t in texts]
+    more = [repeated(t, s) for t, s in zip(texts, spans)]
+    texts = [t for t, _ in more]
+    g = graph_of(texts, spans)
     n = len(g.text)
     if not n:
         return field
-    label = np.eye(k)[g.fixed]
+    label = np.eye(k)[np.maximum(g.fixed, covered(g, len(texts), [hidden for _, hidden in more]))]
     beside = [np.zeros((n, k)), np.zeros((n, k))]
     for links, sums in zip((g.chain, g.skip), beside):
         np.add.at(sums, links[:, 0], label[links[:, 1]])
@@ -194,7 +253,7 @@ def fit(texts: list[str], rounds: int = 150, rate: float = 0.3, decay: float = 1
         unary = np.column_stack([np.bincount(flat, np.repeat(d[:, j], g.cells.shape[1]), CELLS) for j in range(k)])
         steps = [unary, beside[0].T @ d, beside[1].T @ d]
         for w, step, sq, mean in zip(weights, steps, past, prior):
-            step = step + decay * (w - mean)
+            step = step + (decay if w is field.unary else link_decay) * (w - mean)
             if w is not field.unary:
                 step = (step + step.T) / 2
             sq += step * step
@@ -202,7 +261,18 @@ def fit(texts: list[str], rounds: int = 150, rate: float = 0.3, decay: float = 1
     return field
 
 
-def marginals(field: Field, g: Graph, rounds: int = 10, damp: float = 0.5) -> np.ndarray:
+def most_rounds(g: Graph) -> int:
+    """A bound for message passing that grows with the longest row of linked tokens."""
+    longest = [1]
+    for links in (g.chain, g.skip):
+        ends = np.zeros(len(g.text), np.int64)
+        for a, b in links[np.argsort(links[:, 0], kind="stable")].tolist():
+            ends[b] = max(ends[b], ends[a] + 1)
+        longest.append(int(ends.max(initial=0)))
+    return 50 + 4 * max(longest)
+
+
+def marginals(field: Field, g: Graph, tolerance: float = TOLERANCE, damp: float = 0.5) -> np.ndarray:
     """Label probabilities of all tokens by loopy message passing; tokens under a pattern match keep its label."""
     n, k = len(g.text), field.unary.shape[1]
     unary = field.unary[g.cells].sum(axis=1) if n else np.zeros((0, k))
@@ -214,13 +284,16 @@ def marginals(field: Field, g: Graph, rounds: int = 10, damp: float = 0.5) -> np
     bond = np.concatenate([np.repeat(w[None], len(x), axis=0) for w, x in ((field.chain, g.chain), (field.skip, g.skip))] * 2)
     back = (np.arange(len(both)) + len(links)) % max(1, len(both))
     message = np.zeros((len(both), k))
-    for _ in range(rounds if len(both) else 0):
+    for _ in range(most_rounds(g) if len(both) else 0):
         belief = unary.copy()
         np.add.at(belief, both[:, 1], message)
         out = (belief[both[:, 0]] - message[back])[:, :, None] + bond
         top = out.max(axis=1)
         out = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
-        message = damp * message + (1 - damp) * (out - out.max(axis=1, keepdims=True))
+        step = (1 - damp) * (out - out.max(axis=1, keepdims=True) - message)
+        message = message + step
+        if np.abs(step).max() < tolerance:
+            break
     np.add.at(unary, both[:, 1], message)
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
