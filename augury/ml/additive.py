@@ -95,6 +95,9 @@ class Additive:
             return v["intercept"][0] + (x - v["mean"]) @ v["raw"]
         return v["intercept"][0] + ((x - v["mean0"]) ** 2 / (2 * v["var0"]) - (x - v["mean1"]) ** 2 / (2 * v["var1"])).sum(1)
 
+    def scores_of(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.odds_of(x), -700, 700)))
+
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -246,8 +249,8 @@ def held_out(rows: DataFrame, group: str, models: dict[int, list[Additive]], kee
             for g, fitted in models.items():
                 here = np.flatnonzero(number == g)
                 if len(here):
-                    odds = np.stack([m.odds_of(x[here]) for m in fitted], 1)
-                    for i, row in zip(here.tolist(), (1 / (1 + np.exp(-np.clip(odds, -700, 700)))).tolist()):
+                    found = np.stack([m.scores_of(x[here]) for m in fitted], 1)
+                    for i, row in zip(here.tolist(), found.tolist()):
                         scores[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(keep)], pa.array(scores, pa.list_(pa.float64()))], names=schema.names)
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from augury import schemas
-from augury.ml import additive, isotonic
+from augury.ml import additive, forests, isotonic
 from augury.operators.joins import cross_scalar
 from augury.operators.ordered import ordered
 from augury.session import materialise
@@ -163,19 +163,21 @@ def naive_bayes(params: dict, n_rows: int) -> Pipeline:
 class Candidate:
     """A model family: how to build it, what to search, how many draws (None: the whole grid).
 
-    ``fit_many`` fits all settings and groups of rows at once, where a family can do that.
+    ``fit_many`` fits all settings and groups of rows at once, where a family can do that. ``score_many`` scores held-out
+    rows under all fits of a search, where the models are too large to be held.
     """
 
     build: Callable[[dict, int], Pipeline]
     space: dict
     draws: int | None = None
     early_stop: bool = False  # boosting: rounds are cut by the validation rows
-    fit_many: Callable[[DataFrame, str, list[str], list[additive.Task]], list[additive.Additive]] | None = None
+    fit_many: Callable[[DataFrame, str, list[str], list[additive.Task]], list] | None = None
+    score_many: Callable[[DataFrame, str, list[str], list[tuple[int, dict, list[int], int]]], DataFrame] | None = None
 
 
 CANDIDATES = {
     "Logistic Regression": Candidate(logistic, LOGISTIC_GRID, fit_many=additive.fit_logistic),
-    "Random Forest": Candidate(forest, FOREST_SPACE, 30),
+    "Random Forest": Candidate(forest, FOREST_SPACE, 30, fit_many=forests.fit_forests, score_many=forests.search_scores),
     "Gradient Boosting": Candidate(boosting, BOOSTING_SPACE, 30, early_stop=True),
     "Gaussian NB": Candidate(naive_bayes, {}, fit_many=additive.fit_naive_bayes),
 }
@@ -205,7 +207,7 @@ def parameter_sets(space: dict, draws: int | None = None, seed: int = SEED) -> l
 
 def score(model, df: DataFrame) -> DataFrame:
     """Add ``predicted_probability`` of the positive class. Only the probability is kept of the model's columns."""
-    if isinstance(model, additive.Additive):
+    if isinstance(model, (additive.Additive, forests.Forest)):
         return df.withColumn("predicted_probability", model.probability())
     scored = model.transform(df)
     return scored.select(*df.columns, vector_to_array("probability")[1].alias("predicted_probability"))
@@ -225,11 +227,15 @@ def expanding_blocks(df: DataFrame, n_splits: int = 5, order: list[str] | None =
     return cross_scalar(rows, n).withColumn("block", block.cast("int")).drop("_rn", "_n")
 
 
+# Models that save and load themselves, by the name under which they are stored.
+OWN_KINDS = {"additive": additive.Additive, "forest": forests.Forest}
+
+
 @dataclass
 class CalibratedModel:
     """Averages the isotonic-calibrated probabilities of models fitted on parts of the training rows."""
 
-    members: list[tuple[PipelineModel | additive.Additive, isotonic.Isotonic]]
+    members: list[tuple[PipelineModel | additive.Additive | forests.Forest, isotonic.Isotonic]]
 
     def predict(self, df: DataFrame) -> DataFrame:
         columns = df.columns
@@ -243,10 +249,10 @@ class CalibratedModel:
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        kinds = ["additive" if isinstance(model, additive.Additive) else "pipeline" for model, _ in self.members]
+        kinds = [next((k for k, kind in OWN_KINDS.items() if isinstance(model, kind)), "pipeline") for model, _ in self.members]
         spark.createDataFrame([(" ".join(kinds),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/kinds")
         for i, (model, calibrator) in enumerate(self.members):
-            if kinds[i] == "additive":
+            if kinds[i] in OWN_KINDS:
                 model.save(spark, f"{path}/part{i}/model")
             else:
                 model.write().overwrite().save(f"{path}/part{i}/model")
@@ -259,7 +265,7 @@ class CalibratedModel:
         members = []
         for i, kind in enumerate(kinds):
             at = f"{path}/part{i}/model"
-            model = additive.Additive.load(spark, at) if kind == "additive" else PipelineModel.load(at)
+            model = OWN_KINDS[kind].load(spark, at) if kind in OWN_KINDS else PipelineModel.load(at)
             members.append((model, isotonic.Isotonic.load(spark, f"{path}/part{i}/calibrator")))
         return CalibratedModel(members)
 

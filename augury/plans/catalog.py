@@ -1453,7 +1453,7 @@ def once(spark, sf, name: str, make):
     return _kept[key]
 
 
-# Families whose full search and fold metrics are a few jobs over the rows; the tree searches are run by ``train_all``.
+# Families whose full search and fold metrics are a few jobs over the rows; the boosting search is run by ``train_all``.
 SUMMED = [name for name, c in models.CANDIDATES.items() if c.fit_many is not None]
 
 
@@ -1531,6 +1531,19 @@ def model_overfit_flags(spark, sf):
     return training.overfit_flags(trained(spark, sf))
 
 
+@query("forest_search")
+def forest_search(spark, sf):
+    """The areas of all draws of the forest search on all folds."""
+    candidate = models.CANDIDATES["Random Forest"]
+    points = models.parameter_sets(candidate.space, candidate.draws)
+    scores = training.search_scores(candidate, points, prepared(spark, sf).blocks)
+    areas = M.rank_metrics(scores, ["point", "block"]).select("point", F.col("block").alias("fold"), "auc_roc", "avg_precision")
+    settings = "point int, n_estimators int, max_depth int, min_samples_leaf int, max_features string"
+    drawn = spark.createDataFrame([(i, *(p[k] for k in candidate.space)) for i, p in enumerate(points)], settings)
+    # One row a draw: tiny by construction.
+    return tidy(areas.join(F.broadcast(drawn), "point"))
+
+
 @query("cross_validation")
 def cross_validation(spark, sf):
     return training.cv_results(trained(spark, sf, folds=True))
@@ -1540,7 +1553,7 @@ for _name in models.CANDIDATES:
 
     @query("attribution_" + _name.lower().replace(" ", "_"))
     def feature_attribution(spark, sf, name=_name):
-        """Of the searched model where the family is searched here; of one with default settings for trees."""
+        """Of the searched model where the family is searched here; of one with default settings for boosted trees."""
         rows = model_rows(spark, sf).where("split = 'test'")
         if name in SUMMED:
             return attribution.feature_attribution(trained(spark, sf, [name]).fit_plain(name), rows)

@@ -108,6 +108,10 @@ def search_models(candidate: M.Candidate, points: list[dict], blocks: DataFrame,
 
 def search_scores(candidate: M.Candidate, points: list[dict], blocks: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``block, point, actual_label, predicted_probability`` of every test row under every point."""
+    if candidate.score_many is not None:
+        tasks = [(i, p, list(range(k)), k) for k in FOLDS for i, p in enumerate(points)]
+        found = candidate.score_many(blocks, "block", cols or schemas.FEATURES, tasks)
+        return _labelled(found).select("block", "actual_label", "point", "predicted_probability")
     scored = additive.held_out(blocks, "block", search_models(candidate, points, blocks, cols))
     return _labelled(scored).select("block", "actual_label", F.posexplode("scores").alias("point", "predicted_probability"))
 
