@@ -4,6 +4,8 @@ A window puts each group on one task. That is right for most groups, and wrong f
 whole table that holds a large part of all rows. ``ordered`` counts the groups first. Those under the limit get the
 plain window. The others are range-partitioned by (group, order) into sorted runs of about equal size; each run is
 scanned on its own, and the value that the earlier runs of the group pass on comes from a table with one row per run.
+The length of a run follows the limit; the number of tasks follows the rows, so a low limit cuts finer but asks for no
+more tasks.
 """
 
 from __future__ import annotations
@@ -33,10 +35,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def group_sizes_over(df: DataFrame, by: list[str], limit: int) -> list:
-    """The groups with more than ``limit`` rows. At most (rows / limit) of them exist, so they fit the driver."""
+# Most rows of a table of groups or runs that is sent to every task.
+BROADCAST_ROWS = 10_000
+
+
+def group_sizes_over(df: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The groups with more than ``limit`` rows, and their sizes in ``count``."""
     counts = df.groupBy(*by).count() if by else df.agg(F.count("*").alias("count"))
-    return counts.where(F.col("count") > limit).collect()
+    return counts.where(F.col("count") > limit)
+
+
+def totals_over(df: DataFrame, by: list[str], limit: int) -> tuple[int, int]:
+    """How many groups have more than ``limit`` rows, and the rows of these."""
+    found = group_sizes_over(df, by, limit).agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+    return found["n"], found["rows"]
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows, marked to be sent to every task if these are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 @dataclass(frozen=True)
@@ -45,6 +62,7 @@ class OrderedRows:
     order: list[str]
     whole: DataFrame | None  # groups that fit a task
     runs: DataFrame | None  # larger groups, cut into runs numbered by _run
+    n_runs: int = 0  # most (group, run) pairs
 
     def _window(self, *extra: str):
         return Window.partitionBy(*self.by, *extra).orderBy(*self.order)
@@ -61,8 +79,7 @@ class OrderedRows:
         return ends.select(*self.by, "_run", _STEP[how](F.col("_end")).over(earlier).alias("_carry"))
 
     def _with_carry(self, how: str, value: Column) -> DataFrame:
-        # One row per (group, run): as bounded as the number of runs, so the broadcast is safe.
-        return null_safe_join(self.runs, F.broadcast(self._carry(how, value)), [*self.by, "_run"], "left")
+        return null_safe_join(self.runs, small(self._carry(how, value), self.n_runs), [*self.by, "_run"], "left")
 
     def running(self, how: str, value: Column, out: str) -> "OrderedRows":
         """Add the running ``sum``, ``max``, ``min`` or last non-null value up to and including the row."""
@@ -115,20 +132,21 @@ def ordered(
     ``sizes_from`` is a cheaper table with the same groups to count instead of ``df``; ``all_fit`` skips the count
     where the caller has shown that no group is over the limit.
     """
-    limit = limit or rows_per_task(df.sparkSession)
-    large = [] if all_fit else group_sizes_over(df if sizes_from is None else sizes_from, by, limit)
-    if not large:
+    spark = df.sparkSession
+    limit, counted = limit or rows_per_task(spark), df if sizes_from is None else sizes_from
+    groups, rows = (0, 0) if all_fit else totals_over(counted, by, limit)
+    if not groups:
         return OrderedRows(by, order, df, None)
     whole, cut = None, df
     if by:
-        kinds = [df.schema[k] for k in by]
-        keys = df.sparkSession.createDataFrame(
-            [tuple(row[k] for k in by) for row in large],
-            schema=", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds),
-        )
-        whole = null_safe_join(df, F.broadcast(keys), by, "left_anti")
-        cut = null_safe_join(df, F.broadcast(keys), by, "left_semi")
-    pieces = ceil(sum(row["count"] for row in large) / limit) + 1
-    ranged = cut.repartitionByRange(pieces, *by, *order).withColumn("_run", F.spark_partition_id())
+        keys = small(materialise(group_sizes_over(counted, by, limit).select(*by), "large"), groups)
+        whole = null_safe_join(df, keys, by, "left_anti")
+        cut = null_safe_join(df, keys, by, "left_semi")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / rows_per_task(spark)))
+    pieces = min(ceil(rows / limit), wide) + 1
+    ranged = cut.repartitionByRange(pieces, *by, *order).sortWithinPartitions(*by, *order)
+    # These ids count the rows of a partition from a start that is far above the partition before: a run of ``limit`` ids
+    # holds neighbours of one partition.
+    ranged = ranged.withColumn("_run", F.expr(f"monotonically_increasing_id() div {limit}"))
     # Written once, because the run numbers must be the same for the scan and for the table of carried values.
-    return OrderedRows(by, order, whole, materialise(ranged, "runs"))
+    return OrderedRows(by, order, whole, materialise(ranged, "runs"), groups + ceil(rows / limit) + pieces)

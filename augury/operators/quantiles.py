@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from augury.operators.ordered import group_sizes_over, null_safe_join, ordered
+from augury.operators.ordered import null_safe_join, ordered, totals_over
 from augury.operators.sketches import approximate_percentiles
 from augury.session import materialise, rows_per_task
 
@@ -38,7 +38,7 @@ def percentiles(
     if approx:
         return approximate_percentiles(df, cols, probs, by)
     limit = limit or rows_per_task(df.sparkSession)
-    if not group_sizes_over(df, by, min(limit, IN_MEMORY_ROWS)):
+    if not totals_over(df, by, min(limit, IN_MEMORY_ROWS))[0]:
         return df.groupBy(*by).agg(*[F.percentile(c, probs).alias(c) for c in cols])
     ranked = value_ranks(df, cols, by, limit)
     picked = ranked.groupBy(*by, "name").agg(
@@ -71,7 +71,7 @@ def percent_ranks(
     """
     by = list(by or [])
     limit = limit or rows_per_task(df.sparkSession)
-    if not group_sizes_over(df, by, limit):
+    if not totals_over(df, by, limit)[0]:
         group = Window.partitionBy(*by)
         ranks = [
             F.when(

@@ -92,3 +92,17 @@ def test_previous_carries_null(spark):
     for limit in (5, 1000):
         got = ordered(df, ["k"], ["t"], limit).previous(F.col("v"), "p").df.orderBy("t").collect()
         assert [r["p"] for r in got] == [None, *(v for _, _, v in rows[:-1])]
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_a_low_limit_asks_for_no_more_tasks(spark, frame, by, monkeypatch):
+    from augury.operators import ordered as O
+
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 3)  # tables of groups and runs that are not sent to every task
+    df = spark.createDataFrame(frame, "k string, t int, id long, v double")
+    rows = ordered(df, by, ["t", "id"], 2)
+    assert rows.runs.groupBy("_run").count().agg(F.max("count")).first()[0] <= 2
+    assert rows.runs.select(F.input_file_name()).distinct().count() <= 9  # 8 shuffle partitions
+    for limit in (2, 7):
+        cut, plain = (ordered(df, by, ["t", "id"], n).running("last", F.when(F.col("v") > 3, F.col("v")), "seen").previous(F.col("v"), "before").df for n in (limit, 10_000))
+        same_rows(cut, plain)
