@@ -359,10 +359,10 @@ def _spread(df: DataFrame, most: int, keys: list[str]) -> DataFrame:
 def grow_all(rows: DataFrame, group: str, cols: list[str], tasks: list[Task], limit: int | None = None) -> tuple[DataFrame, list[Run], list[int], list[list[float]]]:
     """The written trees of all tasks (in parts, by run and tree), the runs, the run of each task and the cuts of bins.
 
-    ``limit``: most rows of a node that one task finishes, a fifth of the session's rows per task unless given.
+    ``limit``: most rows of a node that one task finishes, twice the session's rows per task unless given: its rows are narrow.
     """
     spark, width = rows.sparkSession, len(cols)
-    limit = limit or max(1, rows_per_task(spark) // 5)
+    limit = limit or max(1, 2 * rows_per_task(spark))
     cuts, narrow = cuts_of(rows, cols), _narrow(rows, group, cols)
     counts = {(r["_g"], r["_y"]): r["n"] for r in narrow.groupBy("_g", "_y").agg(F.count("*").alias("n")).collect()}
     runs, run_of = runs_of(tasks, counts, width)
@@ -419,7 +419,7 @@ def search_scores(rows: DataFrame, group: str, cols: list[str], tasks: list[tupl
     A task is (point, settings, groups learnt from, group tested). Rows meet the trees in slices of ``limit`` rows at
     most on average. A task whose groups hold no rows scores nothing.
     """
-    limit = limit or max(1, rows_per_task(rows.sparkSession) // 5)
+    limit = limit or max(1, 2 * rows_per_task(rows.sparkSession))
     trees, runs, run_of, cuts = grow_all(rows, group, cols, [(p, g) for _, p, g, _ in tasks], limit)
     width, narrow = len(cols), _narrow(rows, group, cols)
     # (run, group tested) -> point, trees and depth of each task that it serves

@@ -8,7 +8,8 @@ from augury.operators.ordered import null_safe_join, ordered, totals_over
 from augury.operators.sketches import approximate_percentiles
 from augury.session import materialise, rows_per_task
 
-# Most rows per group for the built-in exact percentile, which keeps all values of a group in one task's memory.
+# Most rows per group for the built-in exact percentile, which keeps all values of a group in one task's memory, and for
+# rank windows, which keep the rows of a group there.
 IN_MEMORY_ROWS = 250_000
 
 
@@ -71,7 +72,7 @@ def percent_ranks(
     """
     by = list(by or [])
     limit = limit or rows_per_task(df.sparkSession)
-    if not totals_over(df, by, limit)[0]:
+    if not totals_over(df, by, min(limit, IN_MEMORY_ROWS))[0]:
         group = Window.partitionBy(*by)
         ranks = [
             F.when(

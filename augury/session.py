@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK = "spark.augury.rowsPerTask"
-DEFAULT_ROWS_PER_TASK = 5_000_000
+DEFAULT_ROWS_PER_TASK = 500_000
 
 # Settings every job of this library relies on. Cluster sizes (shuffle partitions, memory) stay with the caller.
 REQUIRED_CONF = {

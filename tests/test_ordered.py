@@ -106,3 +106,14 @@ def test_a_low_limit_asks_for_no_more_tasks(spark, frame, by, monkeypatch):
     for limit in (2, 7):
         cut, plain = (ordered(df, by, ["t", "id"], n).running("last", F.when(F.col("v") > 3, F.col("v")), "seen").previous(F.col("v"), "before").df for n in (limit, 10_000))
         same_rows(cut, plain)
+
+
+def test_large_groups_are_not_ranked_in_one_task(spark, frame, monkeypatch):
+    from augury.operators import quantiles
+
+    df = spark.createDataFrame(frame, "k string, t int, id long, v double")
+    wide = percent_ranks(df, {"t": "rt", "v": "rv"}, ["k"])
+    monkeypatch.setattr(quantiles, "IN_MEMORY_ROWS", 50)
+    cut = percent_ranks(df, {"t": "rt", "v": "rv"}, ["k"])
+    assert "rank(" in wide._jdf.queryExecution().toString() and "rank(" not in cut._jdf.queryExecution().toString()
+    same_rows(wide, cut)
