@@ -34,6 +34,7 @@ LEAST = 10  # occurrences of a frequent phrase
 LONGEST = 3  # words of a phrase
 SAMPLE = 8  # one document in so many proposes
 PORTION = 2_000_000  # words that a task counts before it sends
+WRITTEN = 150_000  # phrases, or those of one bucket, that are written out as texts at once
 LEAST_BITS, MOST_BITS = 16, 28  # size of a proposal's filter: powers of two of bits, 32 MB at most
 BREAK, EMPTY = 0, 1  # numbers that stand for the end of a piece and for no word
 LOWER = bytes(b"\n"[0] if c in b".,;:!?\n\x0b\x0c\r" else b" "[0] if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -113,6 +114,7 @@ class Counter:
         if not self.texts:
             return
         ids, size, langs = np.concatenate(self.texts), self.next(), list(self.words)
+        self.texts = []
         lang_of, hashes, texts = np.zeros(size, np.int32), np.zeros(size, np.uint64), [b""] * size
         for k, lang in enumerate(langs):
             own = [(w, i) for w, i in self.words[lang].items() if i > EMPTY]
@@ -121,10 +123,14 @@ class Counter:
             for w, i in own:
                 texts[i] = w
         words, found = pa.array(texts, pa.binary()).cast(pa.string()), []
+        self.words, texts = {}, []
 
         def add(parts: list[np.ndarray], n: np.ndarray, proposed: np.ndarray, h: np.ndarray, lang: np.ndarray | None = None) -> None:
-            phrase = pc.binary_join_element_wise(*[words.take(pa.array(p)) for p in parts], " ") if parts else pa.array([""] * len(n), pa.string())
-            found.append((lang_of[parts[0]] if parts else lang, np.full(len(n), len(parts), np.int32), phrase, n.astype(np.int64), proposed, h))
+            """Phrases by the numbers of their words: they become texts a few buckets at a time."""
+            numbers = np.zeros((LONGEST, len(n)), np.int32)
+            for k, part in enumerate(parts):
+                numbers[k] = part
+            found.append((lang_of[parts[0]] if parts else lang, np.full(len(n), len(parts), np.int32), numbers, n.astype(np.int64), proposed, (h % np.uint64(buckets)).astype(np.int32)))
 
         sampling = self.new is None
         here = self.new.has(hashes) if not sampling else np.ones(size, bool)
@@ -144,6 +150,7 @@ class Counter:
         known = before[left] & before[right]  # counted in an earlier pass
         proposed = self.new.has(h) if not sampling else np.ones(len(h), bool)
         send = np.flatnonzero(~known)
+        del pair
         add([left[send], right[send]], n[send], proposed[send], h[send])
         if not sampling:
             pair_at = np.full(len(ids), -1, np.int64)
@@ -155,17 +162,29 @@ class Counter:
             triple, n = np.unique(pair_at[two] * size + ids[np.minimum(two + 2, len(ids) - 1)], return_counts=True)
             first, last = triple // size, triple % size
             add([left[first], right[first], last], n, np.ones(len(n), bool), joined_hash(h[first], hashes[last]))
-        lang, sizes, phrase, n, proposed, h = zip(*found)
-        bucket = (np.concatenate(h) % np.uint64(buckets)).astype(np.int32)
+        lang, sizes, numbers, n, proposed, bucket = (np.concatenate(a, axis=-1) for a in zip(*found))
+        found.clear()
+        if not len(bucket):
+            return
         order = np.argsort(bucket, kind="stable")
-        by = pa.array(order)
-        columns = [pa.array(langs, pa.string()).take(pa.array(np.concatenate(lang))), pa.array(np.concatenate(sizes)), pa.concat_arrays(phrase), pa.array(np.concatenate(n)), pa.array(np.concatenate(proposed))]
-        whole = pa.RecordBatch.from_arrays([c.take(by) for c in columns], schema=ROWS)
-        numbers, starts = np.unique(bucket[order], return_index=True)
-        ends = np.r_[starts[1:], len(order)]
-        for k in range(0, len(numbers), 64):
-            blobs = [whole.slice(x, y - x).serialize().to_pybytes() for x, y in zip(starts[k : k + 64].tolist(), ends[k : k + 64].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[k : k + 64]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        ordered, by = bucket[order], pa.array(langs, pa.string())
+        starts = np.r_[np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), len(order)]
+        del ids
+        x = 0
+        while x < len(starts) - 1:
+            y = min(x + 64, max(x + 1, int(np.searchsorted(starts, starts[x] + WRITTEN, side="right")) - 1), len(starts) - 1)
+            rows = order[starts[x] : starts[y]]
+            own = [rows[sizes[rows] == k] for k in range(LONGEST + 1)]
+            phrase = [pa.array([""] * len(own[0]), pa.string())]
+            phrase += [pc.binary_join_element_wise(*[words.take(pa.array(numbers[j, own[k]])) for j in range(k)], " ") for k in range(1, LONGEST + 1)]
+            rows = np.concatenate(own)
+            sorted_by = np.argsort(bucket[rows], kind="stable")
+            columns = [by.take(pa.array(lang[rows])), pa.array(sizes[rows]), pa.concat_arrays(phrase), pa.array(n[rows]), pa.array(proposed[rows])]
+            part = pa.RecordBatch.from_arrays([c.take(pa.array(sorted_by)) for c in columns], schema=ROWS)
+            ends = (starts[x : y + 1] - starts[x]).tolist()
+            blobs = [part.slice(u, v - u).serialize().to_pybytes() for u, v in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ordered[starts[x:y]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            x = y
 
 
 class Numbers(dict):

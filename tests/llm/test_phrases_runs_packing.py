@@ -269,3 +269,22 @@ def test_packing_under_all_capacities(sample):
     worst = per.agg(F.max("t"), F.max("d"), F.max("c")).first()
     assert worst[0] <= 512 and worst[1] <= 3 and worst[2] <= 270_000
     assert got.count() == packing.pieces(sample, tokens=512).count()
+
+
+def test_phrases_are_written_out_a_few_buckets_at_a_time(monkeypatch):
+
+    C = collocation
+    monkeypatch.setattr(C, "WRITTEN", 20)
+    rng, counter, expected = random.Random(3), C.Counter(None, None), Counter()
+    for i in range(60):
+        words, lang = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(12)], rng.choice(["en", "de"])
+        counter.read(lang, " ".join(words))
+        expected.update([(lang, 0, "")] * 12 + [(lang, 1, w) for w in words] + [(lang, 2, f"{a} {b}") for a, b in zip(words, words[1:])])
+    found, largest = Counter(), 0
+    for batch in counter.counts(40):
+        parts = [pa.ipc.read_record_batch(b.as_buffer(), C.ROWS).to_pylist() for b in batch.column("blob")]
+        assert sum(map(len, parts)) <= 20 or len(parts) == 1
+        largest = max(largest, len(parts))
+        for r in sum(parts, []):
+            found[r["lang"], r["size"], r["phrase"]] += r["n"]
+    assert found == expected and largest > 1
