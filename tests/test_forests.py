@@ -139,3 +139,46 @@ def test_search_of_the_family(rows):  # noqa: F811
     assert scores.select("block", "point").distinct().count() == len(points) * len(training.FOLDS)
     best, area = training.rate_points(scores, len(training.FOLDS))
     assert points[best]["max_depth"] == 4 and area > 0.75
+
+
+@pytest.mark.parametrize("tried", [2, 4])
+def test_runs_that_differ_in_leaves_share_nodes(monkeypatch, tried):
+    draw, asked = np.random.default_rng(5), []
+    bins = draw.integers(0, 6, (150, 4)).astype(np.uint8)
+    label = (bins[:, 0] + draw.integers(0, 4, 150) > 4).astype(np.int64)
+    cells, labels, cell = forests.cells_of(bins, label)
+    assert np.array_equal(cells[cell], bins) and np.array_equal(labels[cell], label) and len(np.unique(np.column_stack([cells, labels]), axis=0)) == len(cells)
+    runs = [forests.Run((0,), leaf, tried, 5, depth, (0.7, 1.6)) for leaf, depth in ((2, 6), (1, 30), (4, 30))]
+    real = forests.decide
+    monkeypatch.setattr(forests, "decide", lambda heaps, *a: (asked.append(len(heaps)), real(heaps, *a))[1])
+    for tree in range(3):
+        weight = np.bincount(cell, forests.row_weights(np.arange(150), tree), len(labels)).astype(np.int64)
+        own = weight > 0
+        asked.clear()
+        together = forests.grow_together(cells[own], labels[own], weight[own], tree, runs)
+        shared = sum(asked)
+        asked.clear()
+        for run, found in zip(runs, together):
+            got = {int(h): (int(f), int(c) if f >= 0 else 0, int(v)) for h, f, c, v in zip(*found)}
+            assert got == brute(bins, label, forests.row_weights(np.arange(150), tree), tree, run)
+            forests.grow(cells[own], labels[own], weight[own], tree, run)
+        assert shared < sum(asked)
+
+
+def test_rows_that_are_alike_are_scored_once(spark, rows, monkeypatch):  # noqa: F811
+    """Copies of the held-out rows give as many scores, from no more rows put through the trees."""
+    seen, real = spark.sparkContext.accumulator(0), forests.Tree.values
+
+    def values(self, bins, depths):
+        seen.add(len(bins))
+        return real(self, bins, depths)
+
+    tasks = [(i, p, [0, 1], 2) for i, p in enumerate(POINTS[:2])]
+    learnt, tested = rows.where("block < 2"), rows.where("block = 2")
+    copies = learnt.unionByName(tested)
+    for _ in range(4):
+        copies = copies.unionByName(tested)
+    monkeypatch.setattr(forests.Tree, "values", values)
+    found = forests.search_scores(copies.coalesce(1), "block", COLS, tasks)
+    n = tested.count()
+    assert found.count() == 2 * 5 * n and seen.value <= n * 9  # nine trees in the run of both points
