@@ -182,3 +182,13 @@ def test_rows_that_are_alike_are_scored_once(spark, rows, monkeypatch):  # noqa:
     found = forests.search_scores(copies.coalesce(1), "block", COLS, tasks)
     n = tested.count()
     assert found.count() == 2 * 5 * n and seen.value <= n * 9  # nine trees in the run of both points
+
+
+def test_scores_are_worked_out_once_and_rows_dealt_out(rows, monkeypatch):  # noqa: F811
+    """Areas read the scores of a search from files; rows that lie in one file are scored by many tasks."""
+    tasks = [(i, p, [0, 1], 2) for i, p in enumerate(POINTS[:2])]
+    found = forests.search_scores(rows, "block", COLS, tasks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan and "parquet" in plan
+    one = rows.coalesce(1)
+    assert models.dealt_out(one).rdd.getNumPartitions() > 8 and models.dealt_out(one).count() == rows.count()
