@@ -96,8 +96,8 @@ def composite_labels(split: DataFrame, top: float = 0.2, limit: int | None = Non
     bars = percentiles(scored, ["composite_score"], [1 - top], ["split"], limit).select(
         "split", F.col("composite_score")[0].alias("_bar")
     )
-    # One row per split.
-    marked = null_safe_join(scored, bars, ["split"], "left").select(
+    # One row per split: joined by shuffle, a split would be one task.
+    marked = null_safe_join(scored, F.broadcast(bars), ["split"], "left").select(
         *split.columns,
         F.coalesce((F.col("composite_score") >= F.col("_bar")).cast("int"), F.lit(0)).alias(schemas.LABEL),
         "composite_score",

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from augury.functions.numbers import clip, safe_div, significance_stars
-from augury.operators.ordered import null_safe_join, ordered
+from augury.operators.ordered import null_safe_join, ordered, small
+from augury.session import materialise
 
 # Fixed value: distance from 0 and 1 at which the log loss is cut off (machine epsilon of doubles).
 EPSILON = 2.220446049250313e-16
@@ -23,14 +24,26 @@ def _join(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> Data
     return null_safe_join(a, b, by, how)
 
 
-def score_steps(predictions: DataFrame, by: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the totals."""
+def score_steps(predictions: DataFrame, by: list[str] | None = None, limit: int | None = None, times: str | None = None) -> DataFrame:
+    """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the totals.
+
+    ``times``: a column that says how many predictions a row stands for.
+    """
     by = list(by or [])
     positive = F.col("actual_label") == 1
-    steps = predictions.groupBy(*by, F.col("predicted_probability").alias("score")).agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
+    times = F.lit(1) if times is None else F.col(times)
+    counted = lambda is_one: F.sum(F.when(is_one, times).otherwise(0)).cast("bigint")
+    # Written once: its readers are the count of groups, their totals and the ordered scan.
+    steps = materialise(
+        predictions.groupBy(*by, F.col("predicted_probability").alias("score")).agg(
+            counted(positive).alias("pos"), counted(~positive).alias("neg")
+        ),
+        "steps",
     )
     totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    if by:  # joined by shuffle, a group would be one task
+        totals = materialise(totals, "totals")
+        totals = small(totals, totals.count())
     cumulated = ordered(steps, by, ["score"], limit)
     cumulated = cumulated.running("sum", F.col("pos"), "pos_upto").running("sum", F.col("neg"), "neg_upto").df
     return _join(cumulated, totals, by).select(
@@ -40,10 +53,10 @@ def score_steps(predictions: DataFrame, by: list[str] | None = None, limit: int
     )
 
 
-def rank_metrics(predictions: DataFrame, by: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def rank_metrics(predictions: DataFrame, by: list[str] | None = None, limit: int | None = None, times: str | None = None) -> DataFrame:
     """Exact area under the ROC curve and average precision; 0.5 and 0 where only one class is present."""
     by = list(by or [])
-    steps = score_steps(predictions, by, limit)
+    steps = score_steps(predictions, by, limit, times)
     # A positive beats all negatives with lower scores and half of those with its own.
     beaten = F.col("pos") * (F.col("all_neg") - F.col("fp") + F.col("neg") / 2.0)
     area = safe_div(F.sum(beaten), F.first("all_pos").cast("double") * F.first("all_neg"))
