@@ -9,6 +9,7 @@ that of the slowest task's steps, however many tasks there are. Nothing but thes
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
@@ -23,6 +24,7 @@ Task = tuple[dict, list[int]]  # settings, groups learnt from
 SMOOTHING = 1e-9  # of the largest variance of a feature, added to all variances of naive Bayes
 TOLERANCE = 1e-10  # of the mean gradient
 MOST_STEPS = 100
+CLOSE = 16.0  # deviations between means, and ratio of deviations, of sets of rows that share a scaling
 
 
 @dataclass
@@ -162,32 +164,57 @@ def sums(rows: DataFrame, group: str, cols: list[str], scales: list[tuple[list[i
     inside = np.zeros((len(scales), most + 1), bool)  # the last column stands for groups of no set
     for k, (groups, *_) in enumerate(scales):
         inside[k, groups] = True
-    of_set = {k: [i for i, (s, _) in enumerate(betas) if s == k] for k in range(len(scales))}
     size = 1 + width + width * width
+    set_of = np.array([k for k, _ in betas])
+    class_weights = np.array([scales[k][3] for k in set_of])
+    # Sets of about the same scaling share that of the first of them, of which their own is a linear map: the products of
+    # features then serve all their tasks.
+    lead, maps = np.arange(len(scales)), np.zeros((len(scales), width, width))
+    for k, (_, mean, factor, _) in enumerate(scales):
+        live = factor > 0
+        for f in range(k):
+            _, centre, spread, _ = scales[f]
+            near = (np.abs(centre - mean) * factor <= CLOSE) & (factor <= CLOSE * spread) & (spread <= CLOSE * factor)
+            if lead[f] == f and near[live].all():
+                lead[k] = f
+                break
+        _, centre, spread, _ = scales[lead[k]]
+        maps[k, 0, 0] = 1.0
+        maps[k, 1:, 0] = (centre - mean) * factor
+        maps[k][np.arange(1, width), np.arange(1, width)] = np.divide(factor, spread, out=np.zeros_like(factor), where=live)
+    at = np.stack([maps[k].T @ beta for k, beta in betas], 1)
+    first, second = np.triu_indices(width)
+    starts = np.searchsorted(first, np.arange(width))
 
     def work(batches):
-        total = np.zeros((len(betas), size))
+        loss, gradient, bends = np.zeros(len(betas)), np.zeros((width, len(betas))), np.zeros((len(first), len(betas)))
         for batch in batches:
             raw = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(len(cols))], 1)
             label, number = (batch.column(len(cols) + k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            number = np.where((number >= 0) & (number < most), number, most)
-            for k, (_, mean, factor, (w0, w1)) in enumerate(scales):
-                here = inside[k, number]
-                if not of_set[k] or not here.any():
+            number = np.where((number >= 0) & (number < most), number, most).astype(np.int64)
+            for g, f in itertools.product(np.unique(number), np.unique(lead)):
+                own = np.flatnonzero(inside[set_of, g] & (lead[set_of] == f))
+                if not len(own):
                     continue
+                here, (_, centre, spread, _) = number == g, scales[f]
                 x = np.ones((int(here.sum()), width))
-                x[:, 1:] = (raw[here] - mean) * factor
-                y = label[here]
-                w = np.where(y == 1, w1, w0)
-                z = x @ np.stack([betas[i][1] for i in of_set[k]], 1)
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                loss = (w[:, None] * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
-                gradient = x.T @ (w[:, None] * (p - y[:, None]))
-                bend = w[:, None] * p * (1 - p)
-                for j, i in enumerate(of_set[k]):
-                    total[i, 0] += loss[j]
-                    total[i, 1 : 1 + width] += gradient[:, j]
-                    total[i, 1 + width :] += (x.T @ (x * bend[:, j : j + 1])).ravel()
+                x[:, 1:] = (raw[here] - centre) * spread
+                y = label[here][:, None]
+                w = np.where(y == 1, class_weights[own, 1], class_weights[own, 0])
+                z = x @ at[:, own]
+                e = np.exp(-np.abs(z))
+                p = np.where(z >= 0, 1.0, e) / (1 + e)
+                loss[own] += (w * (np.log1p(e) + np.maximum(z, 0) - y * z)).sum(0)
+                gradient[:, own] += x.T @ (w * (p - y))
+                across, products = np.ascontiguousarray(x.T), np.empty((len(first), len(x)))
+                for c in range(width):
+                    np.multiply(across[c:], across[c], out=products[starts[c] : starts[c] + width - c])
+                bends[:, own] += products @ (w * p * (1 - p))
+        total = np.zeros((len(betas), size))
+        for i, k in enumerate(set_of):
+            bend = np.zeros((width, width))
+            bend[first, second] = bend[second, first] = bends[:, i]
+            total[i] = np.r_[loss[i], maps[k] @ gradient[:, i], (maps[k] @ bend @ maps[k].T).ravel()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(betas)), size)), pa.array(np.tile(np.arange(size), len(betas))), pa.array(total.ravel())], names=["task", "at", "part"]
         )
