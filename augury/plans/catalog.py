@@ -21,7 +21,7 @@ from augury.operators.quantiles import percent_ranks, percentiles
 from augury.plans import sql as S, training
 from augury.plans.preprocess import preprocess
 from augury.plans.sql import money, r
-from augury.session import materialise, releases, scratch_path, scratch_table
+from augury.session import dated_files, materialise, releases, scratch_path, scratch_table
 from augury.sources import feed as A, sample_tables as D, tables as B
 from augury.streaming import feed as W
 
@@ -1688,6 +1688,27 @@ def _landed(spark, sf) -> tuple[str, str]:
     return f"{root}/pages", root
 
 
+PAGES, FILE_ROWS = 4, 100_000  # pages that land one after the other, and about the rows of one of a page's files
+
+
+def _land(spark, sf, folder: str, page: int) -> int:
+    """Lands a page of the sample's feed as files whose names and times follow the order of arrival, one task for each.
+
+    Returns the number of files of a page. It grows with the feed, so no task does; a slot without objects may have no file.
+    """
+    events = D.table(spark, sf, "events")
+    total, first, last = (x or 0 for x in events.agg(F.count("event_id"), F.min("event_id"), F.max("event_id")).first())
+    files = max(1, -(-total // (PAGES * FILE_ROWS)))
+    low, high = (first + (last - first + 1) * k // PAGES for k in (page, page + 1))
+    slot = F.floor((F.col("event_id") - low) * files / max(1, high - low)).cast("int")
+    part = events.where((F.col("event_id") >= low) & (F.col("event_id") < high)).repartitionById(files, slot).sortWithinPartitions("event_id")
+    known = dated_files(spark, folder)
+    # The objects' texts are made where they are written: rows of a page may lie in one file of the table.
+    D.feed_text(spark, sf, part).select("body").write.mode("append").text(folder, lineSep="\n")
+    dated_files(spark, folder, known, page * files)
+    return files
+
+
 @query("stream_ingest", f"with {S.FEED} select distinct transaction_id from feed")
 def stream_ingest(spark, sf):
     pages, root = _landed(spark, sf)
@@ -1708,25 +1729,20 @@ def _drained(stream: DataFrame, root: str) -> DataFrame:
     qualify row_number() over (partition by transaction_id order by arrival) = 1""",
 )
 def stream_ingest_batches(spark, sf):
-    """All columns of the kept rows after several micro-batches of one file each, with repeats across the files."""
+    """All columns of the kept rows after several micro-batches of one page each, with repeats across the pages."""
     root = scratch_path(spark, "stream")
-    feed, total = D.feed_text(spark, sf), D.table(spark, sf, "events").count()
-    for k in range(4):  # one after the other: the files' times are the order of arrival
-        part = feed.where(F.floor(F.col("arrival") * 4 / (total + 1)) == k).coalesce(1).sortWithinPartitions("arrival")
-        part.select("body").write.mode("append").text(f"{root}/pages", lineSep="\n")
-    W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=1, lines=True).awaitTermination()
+    files = [_land(spark, sf, f"{root}/pages", k) for k in range(PAGES)]
+    W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=files[0], lines=True).awaitTermination()
     return tidy(W.read_store(spark, f"{root}/store").drop("title", "slug", "event_slug", "batch"))
 
 
 def _by_state(spark, sf) -> tuple[str, str]:
     """Store and checkpoint after two runs over pages that landed one after the other, with repeats within and across them."""
     root = scratch_path(spark, "stream")
-    feed, total = D.feed_text(spark, sf), D.table(spark, sf, "events").count()
-    for k in range(4):
-        part = feed.where(F.floor(F.col("arrival") * 4 / (total + 1)) == k).coalesce(1).sortWithinPartitions("arrival")
-        part.select("body").write.mode("append").text(f"{root}/pages", lineSep="\n")
+    for k in range(PAGES):
+        files = _land(spark, sf, f"{root}/pages", k)
         if k in (1, 3):  # the second run starts from the first one's checkpoint
-            W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=1, lines=True, by_state=True).awaitTermination()
+            W.incremental_ingest(spark, f"{root}/pages", f"{root}/store", f"{root}/check", max_files=files, lines=True, by_state=True).awaitTermination()
     return f"{root}/store", f"{root}/check"
 
 

@@ -100,6 +100,25 @@ def remove(spark: SparkSession, path: str) -> None:
         kept.remove(path)
 
 
+def dated_files(spark: SparkSession, path: str, known: set[str] | None = None, first: int = 0) -> set[str]:
+    """The names of the data files in a folder, none if there is no folder.
+
+    With ``known``, the files besides those get times a second apart in the order of their names, ``first`` seconds and more
+    after a time that is the same for the whole application: jobs of several tasks end their files in any order.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return set()
+    names = {s.getPath().getName() for s in files.listStatus(target)}
+    names = {n for n in names if not n.startswith(("_", "."))}
+    if known is not None:
+        start = spark.sparkContext.startTime
+        for k, name in enumerate(sorted(names - known)):
+            files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(path, name), start + 1000 * (first + k), -1)
+    return names
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -74,11 +74,11 @@ def sparse_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_text(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Feed objects as JSON text, one per event, with an arrival number; every seventh repeats a hash with another
-    size, every eleventh has none."""
+    size, every eleventh has none. ``events``: the rows to use instead of the whole table."""
     configure(spark)
-    rows = table(spark, sf_dir, "events").select(
+    rows = (table(spark, sf_dir, "events") if events is None else events).select(
         "event_id", "user_id", "event_type", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"),
         F.get_json_object("props", "$.k").alias("k"),
     )

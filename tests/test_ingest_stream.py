@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from augury import schemas
 from augury.operators import ingest
 from augury.operators.reports import trade_timeline
-from augury.sources import feed, tables
+from augury.plans import catalog
+from augury.session import scratch_path
+from augury.sources import feed, sample_tables, tables
 from augury.streaming import feed as stream
 
 from conftest import rows_of, same_rows
@@ -205,3 +207,25 @@ def test_old_versions_of_resolutions_go(spark, tmp_path):
     stream.upsert_resolution_table(spark, new.withColumn("resolution", F.lit("again")), path, 3)  # a replay
     assert stream.read_resolution_table(spark, path).first()["resolution"] == "again"
     assert {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()} == {2, 3}
+
+
+def test_pages_land_in_many_files_in_order_of_arrival(spark, small, monkeypatch):
+    """A page is not one task; the files' times and names follow the objects' order, over pages and within one."""
+    monkeypatch.setattr(catalog, "FILE_ROWS", 30)
+    folder = scratch_path(spark, "landed")
+    files = [catalog._land(spark, small, folder, k) for k in range(catalog.PAGES)]
+    feed_rows = sample_tables.feed_text(spark, small)
+    assert files[0] > 3 and len(set(files)) == 1
+    landed = spark.read.text(folder).select("value", "_metadata.file_modification_time", "_metadata.file_name")
+    met = landed.join(feed_rows.select("arrival", F.col("body").alias("value")), "value").groupBy("file_modification_time", "file_name")
+    spans = sorted(tuple(r) for r in met.agg(F.min("arrival"), F.max("arrival"), F.count("*")).collect())
+    assert len(spans) == catalog.PAGES * files[0] and sum(s[4] for s in spans) == feed_rows.count() == landed.count()
+    assert len({s[0] for s in spans}) == len(spans) and max(s[4] for s in spans) <= 31
+    assert all(a[3] < b[2] for a, b in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("name", ["stream_first_arrivals", "stream_ingest_batches"])
+def test_first_arrivals_over_many_files(spark, small, monkeypatch, name):
+    whole = catalog.QUERIES[name](spark, small)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 60)
+    same_rows(catalog.QUERIES[name](spark, small), whole)
