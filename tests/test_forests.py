@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from augury.ml import forests, models
 from augury.operators.metrics import rank_metrics
@@ -192,3 +193,27 @@ def test_scores_are_worked_out_once_and_rows_dealt_out(rows, monkeypatch):  # no
     assert "FlatMapCoGroupsInPandas" not in plan and "parquet" in plan
     one = rows.coalesce(1)
     assert models.dealt_out(one).rdd.getNumPartitions() > 8 and models.dealt_out(one).count() == rows.count()
+
+
+def test_copies_are_counted_and_a_search_keeps_no_trees(rows, monkeypatch):  # noqa: F811
+    """Disk and shuffles of a search follow the rows that differ: alike ones are one cell, trees are scored where they grow."""
+    written, real = [], forests.materialise
+    monkeypatch.setattr(forests, "materialise", lambda df, name: (written.append(name), real(df, name))[1])
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("address", F.concat_ws("-", "address", "copy"))
+    one, nine = (forests.cells_table(df, "block", COLS) for df in (rows, copies))
+    assert nine.sizes == one.sizes and nine.counts == {k: 9 * n for k, n in one.counts.items()}
+    tasks = [(i, p, [0, 1], 2) for i, p in enumerate(POINTS[:2])]
+    written.clear()
+    found = forests.search_scores(copies, "block", COLS, tasks, times="times")
+    assert written == ["cells", "scores"]
+    assert found.groupBy("point").agg(F.sum("times")).collect()[0][1] == copies.where("block = 2").count()
+    assert found.count() <= 2 * one.sizes[2]
+
+
+def test_weights_of_cells():
+    keys, copies = np.arange(20_000), np.repeat([1, 5, 64, 1000], 5_000)
+    w = forests.row_weights(keys, 1, copies)
+    for n in (1, 5, 64, 1000):
+        own = w[copies == n]
+        assert abs(own.mean() / n - 1) < 0.05 / n**0.5 and abs(own.var() / n - 1) < 0.1
+    assert np.array_equal(forests.row_weights(keys[:5_000], 1), w[:5_000])
